@@ -1,11 +1,11 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, SGD in numpy, calibrated rejection.
 
-Each lower-cased run of letters, with a mark before and after it, gives hashed subwords of 1 to 4 characters and the word
-itself. A text's vector is the mean embedding of all its subwords; a softmax over languages follows. Both layers are
-trained by stochastic gradient descent on a bounded sample of labelled rows. As the mean and the layer are linear, a word
-contributes a fixed vector of logits, so that each text is read whole and each distinct word is hashed once.
+Each lower-cased run of letters, with a mark before and after it, gives hashed subwords of 1 to 4 characters. A text's
+vector is the mean embedding of all its subwords; a softmax over languages follows. Both layers are trained by stochastic
+gradient descent on a bounded sample of labelled rows. As the mean and the layer are linear, a subword contributes a fixed
+vector of logits: texts are read whole, hashed as arrays of code points and summed up, part by part.
 
-A second part of the sample calibrates: a temperature minimises the log loss there, and a text is rejected if its score
+A second part of the sample calibrates: a temperature minimises the log loss of pieces of its texts, and a text is rejected if its score
 is below a floor that keeps `keep_share` of the calibration texts; texts without any letter are rejected as well.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0 and rejected. With no labelled row to learn
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,18 +30,45 @@ from .common import documents, map_column, text_of
 #: Bounds of the sample that the classifier is fitted on: rows, and characters of a row that may enter it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 BUCKETS, DIMS, EPOCHS, RATE = 1 << 15, 16, 4, 0.5
+#: Words of the pieces of held-out texts that the temperature is fitted on.
+CALIBRATION_WORDS = (1, 2, 4, 8, 16)
 #: Share of calibration texts that stay.
 KEEP_SHARE = 0.9995
-#: The floor is never above this, so that short clean texts stay.
-MOST_FLOOR = 0.4
+#: The floor is never above so many times the score of pure chance, so that short clean texts stay.
+MOST_FLOOR = 1.2
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(g.encode()) % buckets for g in sorted(grams)]
+#: Characters that are hashed at once.
+PART = 500_000
+
+
+def _grams(marked: str, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to 4 characters from each place: the bucket, and whether they lie in one word. Words stand between zeros."""
+    c = np.frombuffer(marked.encode("utf-32-le"), np.uint32)
+    mark = c == 0
+    h, whole = np.zeros(len(c), np.uint32), np.ones(len(c), bool)
+    for n in range(1, 5):
+        m = len(c) - n + 1
+        if m <= 0:
+            return
+        h = (h[:m] ^ c[n - 1 :]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n == 1:
+            yield h % np.uint32(buckets), ~mark
+            continue
+        if n > 2:  # a mark may come first or last only
+            whole = whole[:m] & ~mark[n - 2 : n - 2 + m]
+        yield h % np.uint32(buckets), whole[:m]
+
+
+def subwords(text: str, buckets: int) -> np.ndarray:
+    """Buckets of all subwords of a text."""
+    words = _WORD.findall(text.lower())
+    if not words:
+        return np.zeros(0, np.int64)
+    return np.concatenate([g[ok] for g, ok in _grams("\0" + "\0".join(words) + "\0", buckets)]).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -51,19 +79,6 @@ class Model:
     temperature: float
     floor: float
 
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        ids = subwords(word, len(self.scores))
-        return self.scores[ids].sum(0), len(ids)
-
-
-def _examples(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    cache: dict[str, list[int]] = {}
-    out = []
-    for text in texts:
-        ids = [i for w in _WORD.findall(text.lower()) for i in (cache.get(w) or cache.setdefault(w, subwords(w, buckets)))]
-        out.append(tuple(np.unique(np.asarray(ids, np.int64), return_counts=True)))
-    return out
-
 
 def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, dims=DIMS, epochs=EPOCHS, rate=RATE, keep_share=KEEP_SHARE) -> Model:
     """Texts without a letter are left out; every fifth text calibrates."""
@@ -72,7 +87,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, d
     if not languages:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    rows, y = _examples([t for t, _ in pairs], buckets), np.array([languages.index(y) for _, y in pairs])
+    rows, y = [np.unique(subwords(t, buckets), return_counts=True) for t, _ in pairs], np.array([languages.index(y) for _, y in pairs])
     held = np.arange(len(rows)) % 5 == 4
     inside = rng.uniform(-1, 1, (buckets, dims)).astype(np.float32) / dims
     outside, bias = np.zeros((dims, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -93,14 +108,20 @@ def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, d
             inside[ids] -= step * len(ids) ** 0.5 * share[:, None] * back
     scores = inside @ outside
     tune = np.flatnonzero(held) if held.any() else learn
-    z = np.array([(rows[i][1] / rows[i][1].sum()) @ scores[rows[i][0]] + bias for i in tune])
 
-    def probability(t: float) -> np.ndarray:
+    def logits(texts: list[str]) -> np.ndarray:
+        return np.array([scores[ids].mean(0) for ids in (subwords(t, buckets) for t in texts)]) + bias
+
+    def probability(z: np.ndarray, t: float) -> np.ndarray:
         e = np.exp((z - z.max(1, keepdims=True)) / t)
         return e / e.sum(1, keepdims=True)
 
-    temperature = min((0.01 * 1.25**k for k in range(34)), key=lambda t: -np.log(probability(t)[np.arange(len(tune)), y[tune]] + 1e-12).mean())
-    floor = min(MOST_FLOOR, float(np.quantile(probability(temperature).max(1), 1 - keep_share)))
+    # Whole texts are nearly always right; their first words and pieces show how sure a short text can be.
+    pieces = [(" ".join(found[at : at + n]), y[i]) for i in tune for found in [_WORD.findall(pairs[i][0])] for n in CALIBRATION_WORDS for at in [len(found) // 3] if found[at : at + n]]
+    z, truth = logits([t for t, _ in pieces]), np.array([k for _, k in pieces])
+    temperature = min((0.01 * 1.25**k for k in range(34)), key=lambda t: -np.log(probability(z, t)[np.arange(len(z)), truth] + 1e-12).mean())
+    whole = probability(logits([pairs[i][0] for i in tune]), temperature)
+    floor = min(MOST_FLOOR / len(languages), float(np.quantile(whole.max(1), 1 - keep_share)))
     return Model(languages, scores, bias, float(temperature), floor)
 
 
@@ -122,37 +143,63 @@ def fit(df: DataFrame, id_col="doc_id", text_col="text", label_col="lang") -> Mo
 
 
 class Predictor:
-    """Logits of the distinct words met so far, in one bounded matrix; texts are added up from its rows, part by part."""
-
-    def __init__(self, model: Model, most: int = 100_000) -> None:
-        self.model, self.most = model, most
-        self.row: dict[str, int] = {}
-        self.known = np.zeros((1024, len(model.languages) + 1), np.float32)
-
-    def _add(self, words: list[str]) -> np.ndarray:
-        """Sum over words of their logits, and last of their subwords."""
-        if len(self.row) + len(words) > self.most:
-            self.row.clear()
-        row = self.row
-        for w in {w for w in words if w not in row}:
-            if len(row) == len(self.known):
-                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-            z, n = self.model.word(w)
-            self.known[len(row)] = [*z, n]
-            row[w] = len(row)
-        return self.known[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].sum(0, np.float64)
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+    def __init__(self, model: Model, part: int = PART) -> None:
+        self.model, self.part = model, part
+        self.weights = np.concatenate([model.scores, np.ones((len(model.scores), 1))], 1).astype(np.float32)
+
+    def _segments(self, texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+        """(text number, some of its words); the words of a long text come in several segments."""
+        for i, text in enumerate(texts):
+            words = _WORD.findall(text.lower()) if text else []
+            at = size = 0
+            for k, w in enumerate(words):
+                size += len(w) + 1
+                if size >= self.part:
+                    yield i, words[at : k + 1]
+                    at, size = k + 1, 0
+            if at < len(words):
+                yield i, words[at:]
+
+    def _sums(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the sum of its subwords' logits, and last their number."""
+        out = np.zeros((len(texts), self.weights.shape[1]))
+        group: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            starts = np.cumsum([0] + [len(m) for _, m in group])
+            for bucket, ok in _grams("".join(m for _, m in group) + "\0", len(self.weights)):
+                values = self.weights[bucket]
+                values[~ok] = 0
+                # Windows from the last places of a segment that would reach past the end have no row.
+                sums = np.add.reduceat(values, np.minimum(starts[:-1], len(values) - 1), axis=0, dtype=np.float64)
+                np.add.at(out, [i for i, _ in group], sums)
+
+        for i, words in self._segments(texts):
+            group.append((i, "\0" + "\0".join(words)))
+            size += len(group[-1][1])
+            if size >= self.part:
+                flush()
+                group, size = [], 0
+        if group:
+            flush()
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         m = self.model
-        words = _WORD.findall(text.lower()) if text and m.languages else ()
-        if not words:
-            return "und", 0.0, True
-        total = sum(self._add(words[i : i + self.most // 2]) for i in range(0, len(words), self.most // 2))
-        z = (total[:-1] / total[-1] + m.bias) / m.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return m.languages[best], float(p[best]), bool(p[best] < m.floor)
+        if not m.languages:
+            return [("und", 0.0, True)] * len(texts)
+        found = []
+        for total in self._sums(texts):
+            if not total[-1]:
+                found.append(("und", 0.0, True))
+                continue
+            z = (total[:-1] / total[-1] + m.bias) / m.temperature
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            best = int(p.argmax())
+            found.append((m.languages[best], float(p[best]), bool(p[best] < m.floor)))
+        return found
 
 
 def predict(df: DataFrame, model: Model, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
@@ -163,7 +210,7 @@ def predict(df: DataFrame, model: Model, id_col="doc_id", text_col="text", keep=
         guess = Predictor(shared.value)
 
         def apply(texts):
-            got = [guess(x) for x in texts]
+            got = guess(texts)
             return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [g[2] for g in got]}
 
         return apply
@@ -179,7 +226,7 @@ def keep_known(df: DataFrame, model: Model, text_col="text") -> DataFrame:
 
     def make():
         guess = Predictor(shared.value)
-        return lambda texts: {"__rejected": [guess(x)[2] for x in texts]}
+        return lambda texts: {"__rejected": [g[2] for g in guess(texts)]}
 
     keep = [(F.col(n).cast("string") if n == text_col else F.col(n)).alias(f"__{i}") for i, n in enumerate(names)]
     judged = map_column(df, keep, names.index(text_col), make, pa.schema([("__rejected", pa.bool_())]))
