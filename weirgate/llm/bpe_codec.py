@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 from .common import documents, map_column, text_of
 from .pieces import Cache, splitter
 
-_NONE = 1 << 62
-_AT = 32  # bits for the position below the rank
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -36,42 +32,48 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
+    bits = n.bit_length()
+    none = 1 << 62 - bits  # above every rank; a leaf is rank and place in one small number
+    size = 1 << (n - 2).bit_length() if n > 1 else 1
     end = list(range(1, n + 1))  # end of the symbol that starts at i
     before = list(range(-1, n - 1))
     get = ranks.get
-    tree = [_NONE] * (2 * size)
-
-    def pair(i: int) -> int:
-        j = end[i]
-        rank = get(piece[i : end[j]]) if j < n else None
-        return _NONE if rank is None else rank << _AT | i
-
-    tree[size : size + n] = [pair(i) for i in range(n)]
+    tree = [none] * (2 * size)
+    for i in range(n - 1):
+        if (rank := get(piece[i : i + 2])) is not None:
+            tree[size + i] = rank << bits | i
     for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            value = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == value:
-                return
-            tree[k] = value
-            k >>= 1
-
-    while (top := tree[1]) != _NONE:
-        i = top & ((1 << _AT) - 1)
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    place = (1 << bits) - 1
+    while (top := tree[1]) != none:
+        i = top & place
         j = end[i]
-        end[i] = end[j]
-        if end[i] < n:
-            before[end[i]] = i
-        put(j, _NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        end[i] = k = end[j]
+        changed = []
+        if j < n - 1:
+            changed.append((j, none))
+        if k < n:
+            before[k] = i
+            rank = get(piece[i : end[k]])
+            changed.append((i, none if rank is None else rank << bits | i))
+        else:
+            changed.append((i, none))
+        if (h := before[i]) >= 0:
+            rank = get(piece[h:k])
+            changed.append((h, none if rank is None else rank << bits | h))
+        for at, value in changed:
+            at += size
+            tree[at] = value
+            at >>= 1
+            while at:
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
+                at >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])

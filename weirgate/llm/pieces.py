@@ -33,16 +33,24 @@ def splitter() -> re.Pattern:
 
 
 class Cache(dict):
-    """Results by piece, of bounded size: when full it starts afresh; long pieces are never kept."""
+    """Results by piece, of bounded size: when full, the entries become the old half, of which those asked for again stay.
 
-    def __init__(self, make, most: int = 200_000, longest: int = 48) -> None:
+    Long pieces are never kept.
+    """
+
+    def __init__(self, make, most: int = 400_000, longest: int = 48) -> None:
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.half, self.longest = make, most // 2, longest
+        self.old: dict = {}
 
     def __missing__(self, piece):
-        value = self.make(piece)
-        if len(piece) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = value
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+            if len(piece) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
         return value
