@@ -86,7 +86,8 @@ def host_verdicts(ruled: DataFrame, bad_rate=BAD_RATE) -> DataFrame:
 
 def judge(df: DataFrame, id_col="doc_id", text_col="text", host_col="source", bad_rate=BAD_RATE) -> DataFrame:
     ruled = with_rules(saved(measures(df, id_col, text_col, host_col)))
-    joined = ruled.join(host_verdicts(ruled, bad_rate), "host", "left")
+    # Written, the verdicts have no partitioning of their own: both sides of the join are dealt anew, and a hot host is split.
+    joined = ruled.join(saved(host_verdicts(ruled, bad_rate)), "host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("host_bad", F.lit(False))))
 
 
