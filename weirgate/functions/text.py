@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that are removed, direction overrides, and look-alikes with their Latin letters.
 INVISIBLE = r"[\x{0000}\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202F}\x{2060}-\x{2069}\x{FEFF}]"
@@ -18,11 +19,15 @@ LATIN = "aeopcyisaeopkivig"
 STABLE = r"^[\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{400}-\x{482}\x{48A}-\x{52F}\x{2012}-\x{2016}\x{2018}-\x{2023}]*+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+#: Declared so, the optimiser neither copies it into filters nor asks it twice: it is the one step outside the JVM.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def rtl_overrides(x: Column) -> Column:
     return x.rlike(OVERRIDES)
 

@@ -69,7 +69,8 @@ def all_events(results: DataFrame) -> DataFrame:
     ]
     listed = F.concat(*(F.coalesce(p, F.array().cast(_TYPE)) for p in parts))
     base = [c for c in ("session_id", "ts_ms", "seq", "message_id", "tool_call_id", "server_name", "tool_name") if c in results.columns]
-    return results.select(*base, F.posexplode(listed).alias("place", "e")).select(*base, "place", "e.*")
+    # The outer form keeps the optimiser from computing the whole list once more to see whether it is empty.
+    return results.select(*base, F.posexplode_outer(listed).alias("place", "e")).where("place is not null").select(*base, "place", "e.*")
 
 
 _TYPE = "array<struct<" + ",".join(f"{f}:{t}" for f, t in _FIELDS) + ">>"

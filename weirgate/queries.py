@@ -105,7 +105,8 @@ def _judged(spark, sf_dir, config=PrefilterConfig()) -> DataFrame:
 
 @query(_rules_sql(f"'{NAMESPACE}.syntactic.' || rule AS rule_id, count(*) AS n, min(doc_id)::BIGINT AS first_doc", ", unnest(rules) AS u(rule) GROUP BY rule"))
 def prefilter_rule_hits(spark, sf_dir):
-    return _judged(spark, sf_dir).select("doc_id", F.explode("pre.rule_ids").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    # The outer form keeps a filter on the array, and with it every rule, from being computed once more below.
+    return _judged(spark, sf_dir).select("doc_id", F.explode_outer("pre.rule_ids").alias("rule_id")).where("rule_id is not null").groupBy("rule_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(_rules_sql(f"doc_id::BIGINT AS doc_id, NOT (bin OR len(inj) > 0) AS pass, array_to_string(list_transform(rules, lambda v: '{NAMESPACE}.syntactic.' || v), ',') AS rules", "WHERE len(rules) > 0"))
