@@ -29,13 +29,13 @@ from .common import documents, map_column, text_of
 
 #: Bounds of the sample that the classifier is fitted on: rows, and characters of a row that may enter it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
-BUCKETS, DIMS, EPOCHS, RATE = 1 << 15, 16, 4, 0.5
+BUCKETS, DIMS, EPOCHS, RATE = 1 << 15, 16, 8, 0.5
 #: Words of the pieces of held-out texts that the temperature is fitted on.
 CALIBRATION_WORDS = (1, 2, 4, 8, 16)
 #: Share of calibration texts that stay.
 KEEP_SHARE = 0.9995
 #: The floor is never above so many times the score of pure chance, so that short clean texts stay.
-MOST_FLOOR = 1.2
+MOST_FLOOR = 1.1
 
 _WORD = re.compile(r"[^\W\d_]+")
 
