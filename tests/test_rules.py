@@ -103,3 +103,20 @@ def test_guard_state_and_events(spark):
 def test_breadcrumb(spark):
     row = spark.range(1).select(gateway.breadcrumb(F.array(F.lit("a" * 400), F.lit("b" * 400))).alias("b")).first().b
     assert len(row.preview) == 500 and row.preview.endswith("...")
+
+
+def test_options_and_enrichment(spark):
+    from weirgate.plans.config import GatewayConfig, from_options
+
+    assert from_options(GatewayConfig, {"exempt_channels": ["a"]}).exempt_channels == ("a",)
+    with pytest.raises(ValueError):
+        from_options(GatewayConfig, {"odd": 1})
+    df = spark.sql("SELECT 'x' AS tool_name, 'boom' AS error_text, 3 AS attempt, map('q', '1') AS params, true AS cut, array('boom') AS blocks, true AS blocked")
+    row = toolerrors.breaker_reason(toolerrors.with_enrichment(toolerrors.advice(df))).first()
+    assert row.severity == "recoverable" and row.blocks[1].endswith("WARNING: 3 consecutive failures.") and row.enricher.error_category == "unknown" and row.reason.startswith("Circuit open")
+
+
+def test_scan_and_sanitize(spark):
+    df = spark.sql("SELECT named_struct('a', 'mail me: a@b.example') AS content")
+    made = scanner.scan_and_sanitize(df)
+    assert made.first().sanitized.content == '{"a":"mail me: [REDACTED]"}' and scanner.findings_table(made, ["content"]).count() == 1

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weirgate.operators import alerts as L
 from weirgate.operators import frequency as Q
-from weirgate.operators.alerts import alert_step
 from weirgate.plans.config import NAMESPACE, AlertConfig, FrequencyConfig, PipelineConfig
 from weirgate.plans.inspect import inspect
 from weirgate.sources.messages import MESSAGES, ingest_rows, log_lines, write_each
@@ -60,28 +59,36 @@ def test_fold_does_not_depend_on_partitions_or_order(spark):
     assert len(want) == 3000
 
 
-def _alerts(config, rows):
-    state, out = None, []
-    base = {"severity": "medium", "server_name": None, "tool_name": None}
-    for r in rows:
-        state, x = alert_step(config)(state, base | r)
-        out.append(x)
-    return out
+def _alerts(spark, config, rows):
+    base = {"event": "e", "severity": "medium", "seq": 0, "server_name": None, "tool_name": None, "__score": None, "summary": ""}
+    df = spark.createDataFrame([base | r | {"seq": i} for i, r in enumerate(rows)], "event string, alert_rule string, session_id string, ts_ms bigint, seq bigint, severity string, server_name string, tool_name string, __score double, summary string")
+    return L.decide(df, config).orderBy("seq").collect()
+
+
+def test_rule_four_ladder(spark):
+    r = _alerts(spark, AlertConfig(suppression_minutes=0), [{"alert_rule": "scanBlockAfterSyntacticPass", "session_id": "s", "ts_ms": t} for t in (0, 1, 2, 3, 86_400_001)])
+    assert [x.final_severity for x in r] == ["medium", "medium", "high", "high", "medium"] and [x.occurrence for x in r] == [1, 2, 3, 4, 1]
 
 
-def test_rule_four_ladder():
-    r = _alerts(AlertConfig(suppression_minutes=0), [{"alert_rule": "scanBlockAfterSyntacticPass", "session_id": "s", "ts_ms": i} for i in range(4)])
-    assert [x["final_severity"] for x in r] == ["medium", "medium", "high", "high"]
+def test_rate_limit_spares_critical(spark):
+    rows = [{"alert_rule": "frequencyEscalationTier2", "session_id": str(i), "ts_ms": 0} for i in range(21)] + [{"alert_rule": "frequencyEscalationTier3", "session_id": "x", "ts_ms": 0, "severity": "critical"}]
+    assert [x.disposition for x in _alerts(spark, AlertConfig(), rows)] == ["delivered"] * 20 + ["rate_limited", "delivered"]
 
 
-def test_rate_limit_spares_critical():
-    r = _alerts(AlertConfig(), [{"alert_rule": "frequencyEscalationTier2", "session_id": str(i), "ts_ms": 0} for i in range(21)] + [{"alert_rule": "frequencyEscalationTier3", "session_id": "x", "ts_ms": 0, "severity": "critical"}])
-    assert [x["disposition"] for x in r] == ["delivered"] * 20 + ["rate_limited", "delivered"]
+def test_limits_over_time(spark):
+    rng = random.Random(3)
+    times = sorted(rng.randrange(10_000_000) for _ in range(2000))
+    got = [x.disposition for x in _alerts(spark, AlertConfig(suppression_minutes=0, per_minute=3, per_hour=50), [{"alert_rule": "a", "session_id": "s", "ts_ms": t} for t in times])]
+    sent: list[int] = []
+    for t, d in zip(times, got):
+        full = sum(t - u < 60_000 for u in sent) >= 3 or sum(t - u < 3_600_000 for u in sent) >= 50
+        assert d == ("rate_limited" if full else "delivered")
+        sent += [] if full else [t]
 
 
-def test_suppression_does_not_extend():
-    r = _alerts(AlertConfig(), [{"alert_rule": "a", "session_id": "s", "ts_ms": t} for t in (0, 200_000, 300_000, 400_000)])
-    assert [x["disposition"] for x in r] == ["delivered", "suppressed", "delivered", "suppressed"]
+def test_suppression_does_not_extend(spark):
+    r = _alerts(spark, AlertConfig(), [{"alert_rule": "a", "session_id": "s", "ts_ms": t} for t in (0, 200_000, 300_000, 400_000)])
+    assert [x.disposition for x in r] == ["delivered", "suppressed", "delivered", "suppressed"]
 
 
 EVENTS = "event string, ts_ms bigint, seq bigint, session_id string, message_id string, tool_call_id string, rule_ids array<string>, score double, trusted boolean, server_name string, tool_name string"

@@ -60,49 +60,68 @@ def candidates(events: DataFrame, config: AlertConfig = AlertConfig()) -> DataFr
     return out.unionByName(schema.select("*", F.lit("trustedToolSchemaFail").alias("alert_rule"), F.lit("high").alias("severity"), F.concat(F.lit("Trusted tool "), F.col("server_name"), F.lit(":"), F.col("tool_name"), F.lit(" produced structurally invalid output")).alias("summary"), null.alias("__score")))
 
 
-_DAY = 24 * 3_600_000
+_HOUR = 3_600_000
+_DAY = 24 * _HOUR
 
 
-def alert_step(config: AlertConfig):
-    """Rule 4's daily counter, greedy dedup per key, then rate limits over what dedup accepts; critical alerts are never limited."""
-    hush = config.suppression_minutes * 60_000
+def occurrence_step(config: AlertConfig):
+    """Rule 4's counter, which starts again a day after its window began, and the severity that follows from it."""
 
     def step(state, row):
-        if state is None:
-            state = {"n": 0, "since": row["ts_ms"], "seen": {}, "sent": deque()}
-        now, severity, occurrence = row["ts_ms"], row["severity"], None
-        if row["alert_rule"] == "scanBlockAfterSyntacticPass":
-            state["n"] += 1
-            if now - state["since"] > _DAY:
-                state["n"], state["since"] = 1, now
-            occurrence = state["n"]
-            severity = "high" if occurrence >= config.escalate_after else "medium"
-        key = (row["alert_rule"], row["session_id"]) + ((f"{row['server_name']}:{row['tool_name']}",) if row["alert_rule"] == "trustedToolSchemaFail" else ())
-        seen, sent = state["seen"], state["sent"]
-        if hush and key in seen and now - seen[key] < hush:
-            return state, {"disposition": "suppressed", "final_severity": severity, "occurrence": occurrence}
-        seen[key] = now
-        if len(seen) > 10_000:  # only keys that can still suppress
-            for k in [k for k, t in seen.items() if now - t >= hush]:
-                del seen[k]
-        if severity != "critical":
-            while sent and now - sent[0] >= 3_600_000:
-                sent.popleft()
-            minute = sum(1 for t in sent if now - t < 60_000)
-            if minute >= config.per_minute or len(sent) >= config.per_hour:
-                return state, {"disposition": "rate_limited", "final_severity": severity, "occurrence": occurrence}
-            sent.append(now)
-        return state, {"disposition": "delivered", "final_severity": severity, "occurrence": occurrence}
+        n, since = state or (0, row["ts_ms"])
+        n += 1
+        if row["ts_ms"] - since > _DAY:
+            n, since = 1, row["ts_ms"]
+        return (n, since), {"occurrence": n, "final_severity": "high" if n >= config.escalate_after else "medium"}
+
+    return step
+
+
+def dedup_step(config: AlertConfig):
+    """Greedy per key: silent until the pause since the last accepted one is over."""
+    hush = config.suppression_minutes * 60_000
+
+    def step(last, row):
+        if hush and last is not None and row["ts_ms"] - last < hush:
+            return last, {"fresh": False}
+        return row["ts_ms"], {"fresh": True}
 
     return step
 
 
-_OUT = [("disposition", pa.string(), "string"), ("final_severity", pa.string(), "string"), ("occurrence", pa.int64(), "bigint")]
+def rate_step(config: AlertConfig):
+    """Sliding limits a minute and an hour; only what is delivered counts."""
+
+    def step(sent, row):
+        sent, now = sent if sent is not None else deque(), row["ts_ms"]
+        while sent and now - sent[0] >= _HOUR:
+            sent.popleft()
+        full = len(sent) >= config.per_hour or (len(sent) >= config.per_minute and now - sent[-config.per_minute] < 60_000)
+        if not full:
+            sent.append(now)
+        return sent, {"delivered": not full}
+
+    return step
 
 
 def decide(rows: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """Candidates with their disposition: one global order, which the limits are defined by, over candidates only."""
-    return keyed_fold(rows, [], ["ts_ms", "seq"], alert_step(config), _OUT, rows.columns)
+    """Candidates with disposition (delivered, suppressed, rate_limited), final_severity and occurrence.
+
+    Dedup runs for all keys side by side. Only rule 4's candidates and, after dedup, what isn't critical go through one
+    order, by which the counter and the limits are defined.
+    """
+    order = ["ts_ms", "seq"]
+    fourth = F.col("alert_rule") == "scanBlockAfterSyntacticPass"
+    counted = keyed_fold(rows.where(fourth), [], order, occurrence_step(config), [("occurrence", pa.int64(), "bigint"), ("final_severity", pa.string(), "string")], rows.columns)
+    counted = counted.unionByName(rows.where(~fourth).withColumns({"occurrence": F.lit(None).cast("bigint"), "final_severity": F.col("severity")}))
+    key = F.when(F.col("alert_rule") == "trustedToolSchemaFail", F.concat_ws(":", "server_name", "tool_name"))
+    keyed = counted.withColumn("__tool", F.coalesce(key, F.lit("")))
+    single = keyed_fold(keyed, ["alert_rule", "session_id", "__tool"], order, dedup_step(config), [("fresh", pa.bool_(), "boolean")], [*rows.columns, "occurrence", "final_severity"])
+    limited = single.where(F.col("fresh") & (F.col("final_severity") != "critical"))
+    sent = keyed_fold(limited, [], order, rate_step(config), [("delivered", pa.bool_(), "boolean")], [*rows.columns, "occurrence", "final_severity"])
+    out = sent.withColumn("disposition", F.when(F.col("delivered"), "delivered").otherwise("rate_limited")).drop("delivered")
+    rest = single.where(~F.col("fresh") | (F.col("final_severity") == "critical"))
+    return out.unionByName(rest.withColumn("disposition", F.when(F.col("fresh"), "delivered").otherwise("suppressed")).drop("fresh"))
 
 
 def build(decided: DataFrame) -> DataFrame:

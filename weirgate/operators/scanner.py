@@ -114,3 +114,18 @@ def merge_directions(findings: DataFrame, keys: list[str], idx="idx") -> DataFra
     )
     won = F.when(F.col("a").isNull() | (F.col("b.rank") > F.col("a.rank")), F.col("b.f")).otherwise(F.col("a.f"))
     return best.select(won.alias("f"), F.col("first.out").alias("__o"), F.col("first.i").alias("__i")).select("f.*", F.struct("__o", "__i").alias("place"))
+
+
+def findings_table(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:
+    """One row per finding."""
+    return df.select(*keys, F.posexplode_outer(findings).alias("idx", "f")).where("f is not null").select(*keys, "idx", "f.*")
+
+
+def scan_and_sanitize(df: DataFrame, config: ScannerConfig = ScannerConfig(), sanitize=None, pack: tuple[Detector, ...] = PACK, content="content") -> DataFrame:
+    """Findings and the redacted content of each message; objects are scanned as their JSON text."""
+    from ..plans.config import SanitizeConfig
+    from .redact import redact
+
+    if df.schema[content].dataType.typeName() in ("struct", "array", "map", "variant"):
+        df = df.withColumn(content, F.to_json(F.col(content)))
+    return redact(detect(df, config, pack, content), sanitize or SanitizeConfig(), content)

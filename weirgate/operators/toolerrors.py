@@ -129,3 +129,19 @@ def enriched(rows: DataFrame) -> DataFrame:
     joined = F.array_join("blocks", " ")
     own = (F.length(joined) == 0) | joined.startswith("{")
     return rows.withColumns({"tool_name": F.coalesce("content_tool", "message_tool", "message_name"), "error_text": F.when(own & F.col("details_error").isNotNull(), F.col("details_error")).otherwise(joined)})
+
+
+def with_enrichment(rows: DataFrame) -> DataFrame:
+    """Adds the blocks with the advice after them, and the details: of advised rows with blocks (array), attempt and cut.
+
+    A text that was cut off can't be judged terminal; from the third attempt on the advice ends in a warning.
+    """
+    warning = F.when(F.coalesce("cut", F.lit(False)) & (F.col("attempt") >= MAX_ATTEMPTS), F.concat(F.lit(" WARNING: "), F.col("attempt").cast("string"), F.lit(" consecutive failures."))).otherwise("")
+    text = F.concat(F.col("advice"), warning)
+    details = F.struct("tool_name", F.col("severity").alias("severity"), F.col("category").alias("error_category"), F.col("source").alias("template_source"), "attempt", F.lit(MAX_ATTEMPTS).alias("max_attempts"))
+    return rows.withColumns({"blocks": F.array_append("blocks", text), "enricher": details})
+
+
+def breaker_reason(rows: DataFrame) -> DataFrame:
+    """Adds reason where the breaker was open before the call."""
+    return rows.withColumn("reason", F.when(F.col("blocked"), F.concat(F.lit("Circuit open: "), F.col("tool_name"), F.lit(f" failed {MAX_ATTEMPTS} times in a row"))))

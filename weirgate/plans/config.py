@@ -233,3 +233,17 @@ class GatewayConfig:
     redact_outbound: bool = True
     block_message: str = "Message blocked."
     terminate_message: str = "Session terminated."
+
+
+def from_options(kind: type, options: dict):
+    """A configuration from plain options; one that it doesn't have is refused."""
+    from dataclasses import fields
+
+    known = {f.name for f in fields(kind)}
+    _check(set(options) <= known, f"unknown options: {sorted(set(options) - known)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in options.items()})
+
+
+#: Settings of the host's plugin, which differ from the library's own.
+HOST_FREQUENCY = FrequencyConfig(weights=MappingProxyType({**DEFAULT_WEIGHTS, f"{NAMESPACE}.prompt_injection.*": 15.0}), thresholds=(15, 40, 80), rolling_window_ms=300_000, ttl_ms=1_800_000)
+HOST_SCANNER = ScannerConfig(threshold="medium")
