@@ -45,3 +45,8 @@ def type_of(v: Column) -> Column:
         F.when(v.isNull() | (s == "VOID"), "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
         .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
     )
+
+
+def parse_or_text(x: Column) -> Column:
+    """struct(json, text): the value if the text is JSON, else null beside the text itself."""
+    return F.struct(F.when(is_json(x), F.try_parse_json(x)).alias("json"), x.alias("text"))

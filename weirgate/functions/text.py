@@ -19,6 +19,10 @@ LATIN = "aeopcyisaeopkivig"
 STABLE = r"^[\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{400}-\x{482}\x{48A}-\x{52F}\x{2012}-\x{2016}\x{2018}-\x{2023}]*+$"
 
 
+#: Characters that no step of the normalisation touches: a text of these is its own normal form.
+PLAIN = r"^[\x01-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}\x{AC}\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{130}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2012}-\x{2016}\x{2018}-\x{2023}]*+$"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -28,6 +32,16 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 _nfkc = _nfkc.asNondeterministic()
 
 
+def is_plain(x: Column) -> Column:
+    """ASCII texts are told by their lengths alone."""
+    return F.when(F.octet_length(x) == F.length(x), ~F.contains(x, F.lit("\0"))).otherwise(x.rlike(PLAIN))
+
+
+def folded(stripped: Column, plain: Column) -> Column:
+    """nfkc of the stripped text, where the text isn't plain."""
+    return F.coalesce(_nfkc(F.when(~plain, F.when(~stripped.rlike(STABLE), stripped))), stripped)
+
+
 def rtl_overrides(x: Column) -> Column:
     return x.rlike(OVERRIDES)
 

@@ -13,23 +13,32 @@ from ..functions import text as T
 from ..plans.config import SYNTACTIC, PrefilterConfig
 
 _LINE = r"(?:\A|(?<=[\n\r\x{2028}\x{2029}]))"
-# Rule names and patterns, in the order in which they are reported.
+# Rule names in the order in which they are reported, the phrases of which one must be there whatever its case,
+# and the pattern that must match as well.
 INJECTION = (
-    ("ignore-previous", "(?i)ignore previous instructions"),
-    ("ignore-all", "(?i)ignore all instructions"),
-    ("disregard", "(?i)disregard your"),
-    ("you-are-now", "(?i)you are now"),
-    ("new-instructions", r"(?i)new instructions[\s\x{1680}\x{2028}\x{2029}]*:"),
-    ("system-override", "(?i)system override"),
-    ("system-prefix", _LINE + "SYSTEM:"),
-    ("inst-delimiter", r"(?i)\[INST\]|</INST>"),
+    ("ignore-previous", ("ignore previous instructions",), None),
+    ("ignore-all", ("ignore all instructions",), None),
+    ("disregard", ("disregard your",), None),
+    ("you-are-now", ("you are now",), None),
+    ("new-instructions", ("new instructions",), r"(?i)new instructions[\s\x{1680}\x{2028}\x{2029}]*:"),
+    ("system-override", ("system override",), None),
+    ("system-prefix", ("system:",), _LINE + "SYSTEM:"),
+    ("inst-delimiter", ("[inst]", "</inst>"), None),
 )
-ROLE_TRIGGER = "(?i)you are a|act as|pretend you are|roleplay as"
-CAPABILITY_GRANT = "(?i)no restrictions|no limits|without filters|DAN mode|developer mode"
+ROLE_TRIGGER = ("you are a", "act as", "pretend you are", "roleplay as")
+CAPABILITY_GRANT = ("no restrictions", "no limits", "without filters", "dan mode", "developer mode")
 BINARY = r"[\x01-\x08\x0E-\x1F]"
-BASE64 = "[A-Za-z0-9+/]{40,}={0,2}"
+BASE64 = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}"  # where a run of 40 or more begins
 
-TAXONOMY = tuple(f"{SYNTACTIC}.{x}" for x in ("structural.oversized-payload", "structural.excessive-depth", "structural.binary-content", *(f"injection.{n}" for n, _ in INJECTION), "injection.role-switch-capability", "injection.role-switch-only", "encoding.invisible-chars", "encoding.base64-in-text", "encoding.homoglyph-substitution", "encoding.rtl-override"))
+TAXONOMY = tuple(f"{SYNTACTIC}.{x}" for x in ("structural.oversized-payload", "structural.excessive-depth", "structural.binary-content", *(f"injection.{n}" for n, _, _ in INJECTION), "injection.role-switch-capability", "injection.role-switch-only", "encoding.invisible-chars", "encoding.base64-in-text", "encoding.homoglyph-substitution", "encoding.rtl-override"))
+
+
+def _says(lower: Column, phrases: tuple[str, ...]) -> Column:
+    """Plain searches in the lower-cased text: a fraction of what patterns cost."""
+    out = F.contains(lower, F.lit(phrases[0]))
+    for p in phrases[1:]:
+        out = out | F.contains(lower, F.lit(p))
+    return out
 
 
 def prefilter(df: DataFrame, config: PrefilterConfig = PrefilterConfig(), content: str = "content", out: str = "pre") -> DataFrame:
@@ -42,11 +51,15 @@ def prefilter(df: DataFrame, config: PrefilterConfig = PrefilterConfig(), conten
     over = size > config.max_payload_bytes
     # Oversized texts are emptied before they are normalised: nothing further is asked of them.
     df = df.withColumn("__x", F.when(over, F.lit("")).otherwise(x))
-    df = df.withColumn("__stripped", T.strip_invisible(F.col("__x"))).withColumn("__norm", T.map_look_alikes(T.nfkc(F.col("__stripped"))))
-    t, n = F.col("__x"), F.col("__norm")
+    t, plain = F.col("__x"), F.col("__plain")
+    df = df.withColumn("__plain", T.is_plain(t)).withColumn("__stripped", F.when(plain, t).otherwise(T.strip_invisible(t)))
+    df = df.withColumn("__fold", T.folded(F.col("__stripped"), plain)).withColumn("__norm", F.when(plain, t).otherwise(T.map_look_alikes(F.col("__fold"))))
+    # Of normalised text, lower case makes no new ASCII letters: the search equals one that ignores ASCII case.
+    df = df.withColumn("__low", F.lower("__norm"))
+    n, low = F.col("__norm"), F.col("__low")
     suppressed = set(config.suppress)
-    df = df.withColumns({f"__r{i}": n.rlike(p) for i, (_, p) in enumerate(INJECTION)} | {"__trigger": n.rlike(ROLE_TRIGGER)}).withColumn("__grant", F.col("__trigger") & n.rlike(CAPABILITY_GRANT))
-    hits = [(f"injection.{name}", F.col(f"__r{i}")) for i, (name, _) in enumerate(INJECTION)] + [("injection.role-switch-capability", F.col("__grant"))]
+    df = df.withColumns({f"__r{i}": _says(low, phrases) if pattern is None else _says(low, phrases) & n.rlike(pattern) for i, (_, phrases, pattern) in enumerate(INJECTION)} | {"__trigger": _says(low, ROLE_TRIGGER)}).withColumn("__grant", F.col("__trigger") & _says(low, CAPABILITY_GRANT))
+    hits = [(f"injection.{name}", F.col(f"__r{i}")) for i, (name, _, _) in enumerate(INJECTION)] + [("injection.role-switch-capability", F.col("__grant"))]
     injected = F.lit(False)
     for _, c in hits:
         injected = injected | c
@@ -65,8 +78,8 @@ def prefilter(df: DataFrame, config: PrefilterConfig = PrefilterConfig(), conten
         ("injection.role-switch-only", F.col("__trigger") & ~F.col("__grant"), False, F.lit("Role-switch trigger detected (flag only)")),
         ("encoding.invisible-chars", gone > 0, injected, F.format_string("%d invisible/zero-width character(s) stripped before analysis", gone)),
         ("encoding.base64-in-text", t.rlike(BASE64), False, F.lit("Potential base64-encoded content detected in text field")),
-        ("encoding.homoglyph-substitution", (n != F.col("__stripped")) & injected, False, F.lit("Unicode confusable characters normalized (homoglyph/fullwidth/compatibility substitution)")),
-        ("encoding.rtl-override", T.rtl_overrides(t), False, F.lit("RTL/LTR override characters detected")),
+        ("encoding.homoglyph-substitution", ~plain & (n != F.col("__stripped")) & injected, False, F.lit("Unicode confusable characters normalized (homoglyph/fullwidth/compatibility substitution)")),
+        ("encoding.rtl-override", ~plain & T.rtl_overrides(t), False, F.lit("RTL/LTR override characters detected")),
     ]
     df = df.withColumns({f"__h{i}": hit for i, (_, hit, _, _) in enumerate(rules)})
     failed = F.lit(False)
@@ -76,4 +89,4 @@ def prefilter(df: DataFrame, config: PrefilterConfig = PrefilterConfig(), conten
     ids = F.array_compact(F.array(*(F.when(F.col(f"__h{i}"), F.lit(f"{SYNTACTIC}.{name}")) for i, (name, _, _, _) in enumerate(rules))))
     flags = F.array_compact(F.array(*(F.when(F.col(f"__h{i}"), text) for i, (_, _, _, text) in enumerate(rules))))
     made = df.withColumn(out, F.struct((~failed).alias("pass"), ids.alias("rule_ids"), flags.alias("flags")))
-    return made.drop("__raw", "__x", "__stripped", "__norm", "__trigger", "__grant", *(f"__r{i}" for i in range(len(INJECTION))), *(f"__h{i}" for i in range(len(rules))))
+    return made.drop("__raw", "__x", "__plain", "__stripped", "__fold", "__norm", "__low", "__trigger", "__grant", *(f"__r{i}" for i in range(len(INJECTION))), *(f"__h{i}" for i in range(len(rules))))

@@ -20,15 +20,17 @@ class Detector:
     severity: str
     pattern: str
     direction: str = "inbound"
+    #: A phrase of every match, in lower case: texts without it aren't searched.
+    needs: str = ""
 
 
 # The pack that ships with this package.
 PACK = (
-    Detector("prompt_injection", "instruction_override", "high", "(?i)ignore (?:all|any|previous) instructions"),
-    Detector("credential", "token", "critical", "token = \"[0-9a-f]{40}\"", "inbound"),
-    Detector("credential", "aws_key", "critical", "AKIA[0-9A-Z]{16}", "inbound"),
-    Detector("personal", "email", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "inbound"),
-    Detector("personal", "ipv4", "low", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "inbound"),
+    Detector("prompt_injection", "instruction_override", "high", "(?i)ignore (?:all|any|previous) instructions", needs="instructions"),
+    Detector("credential", "token", "critical", "token = \"[0-9a-f]{40}\"", needs="token = "),
+    Detector("credential", "aws_key", "critical", "AKIA[0-9A-Z]{16}", needs="akia"),
+    Detector("personal", "email", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", needs="@"),
+    Detector("personal", "ipv4", "low", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", needs="."),
 )
 FINDING = "struct<position:int,rule_id:string,type:string,subtype:string,severity:string,rank:int,matched:string,direction:string,blocked:boolean,description:string>"
 _BLOCK = 128
@@ -67,15 +69,17 @@ def detect(df: DataFrame, config: ScannerConfig = ScannerConfig(), pack: tuple[D
     """Adds the array of findings of the configured direction, in the order of the pack and then of place."""
     chosen = [d for d in pack if config.direction == "both" or d.direction in (config.direction, "both")]
     limit = SEVERITIES.index(config.threshold) + 1
+    df = df.withColumn("__low", F.lower(content))
     for i, d in enumerate(chosen):
-        df = df.withColumn("__m", F.regexp_extract_all(F.col(content), F.lit(d.pattern), F.lit(0)))
+        found = F.regexp_extract_all(F.col(content), F.lit(d.pattern), F.lit(0))
+        df = df.withColumn("__m", F.when(F.contains("__low", F.lit(d.needs)), found) if d.needs else found)
         df = df.withColumn("__s", F.when(F.size("__m") > 0, starts(F.split(F.col(content), d.pattern, -1), F.col("__m"))))
         rank = SEVERITIES.index(d.severity) + 1 if d.severity in SEVERITIES else len(SEVERITIES)
         direction = "inbound" if d.direction == "both" and config.direction != "outbound" else config.direction if d.direction == "both" else d.direction
         made = F.transform("__m", _finding(d, rank, direction, rank >= limit))
         df = df.withColumn(f"__f{i}", F.when(F.size("__m") > 0, made).otherwise(F.array().cast(f"array<{FINDING}>"))).drop("__m", "__s")
     found = F.concat(*(F.col(f"__f{i}") for i in range(len(chosen)))) if chosen else F.array().cast(f"array<{FINDING}>")
-    return df.withColumn(out, found).drop(*(f"__f{i}" for i in range(len(chosen))))
+    return df.withColumn(out, found).drop("__low", *(f"__f{i}" for i in range(len(chosen))))
 
 
 def _finding(d: Detector, rank: int, direction: str, blocked: bool):

@@ -21,8 +21,8 @@ from .operators.redact import redact
 from .operators.schema import validate
 from .plans.config import NAMESPACE, PROFILES, AuditConfig, FrequencyConfig, GatewayConfig, GuardConfig, PipelineConfig, PrefilterConfig, SanitizeConfig, ScannerConfig, SchemaConfig, ToolSchema, Variant
 from .plans.inspect import inspect, transitions
-from .sources.messages import from_conversations, table
-from .streaming.sessions import stream_frequency
+from .sources.messages import conversation_messages, from_conversations, table
+from .streaming.sessions import stream_frequency, stream_inspect
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -522,22 +522,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-@query(_FOLD_SQL + "SELECT session_id, seq, previous_milli, score_milli, tier, terminated FROM g")
-def stream_frequency_available(spark, sf_dir):
-    """The events as a stream, run until it has read all there is, through the stateful operator, into a table."""
+def _run_available(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table as a stream, run until all there is has been read, into a table."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = shared_path(spark, "stream")
     try:
-        schema = table(spark, sf_dir, "events").schema
-        e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        source = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        run = build(source).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.parquet(f"{path}/rows")
+
+
+@query(_FOLD_SQL + "SELECT session_id, seq, previous_milli, score_milli, tier, terminated FROM g")
+def stream_frequency_available(spark, sf_dir):
+    def build(e: DataFrame) -> DataFrame:
         w = F.lit(0.0)
         for kind, rule in _RULE_OF.items():
             w = F.when(F.col("event_type") == kind, Q.weight(F.lit(f"{NAMESPACE}.{rule}"), SESSIONS)).otherwise(w)
         u = e.select(F.col("user_id").cast("string").alias("session_id"), T.millis("ts").alias("ts_ms"), F.col("event_id").alias("seq"), w.alias("weight"), (w > 0).cast("bigint").alias("hits"))
-        run = stream_frequency(u, SESSIONS).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
-    return _rounded(spark.read.parquet(f"{path}/rows"))
+        return stream_frequency(u, SESSIONS)
+
+    return _rounded(_run_available(spark, sf_dir, "events", build))
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, turn::BIGINT AS seq, 'full' AS path, true AS safe, 'none' AS tier FROM conversations")
+def stream_inspect_conversations(spark, sf_dir):
+    """The conversations hold nothing that a rule or a detector finds."""
+
+    def build(c: DataFrame) -> DataFrame:
+        return stream_inspect(conversation_messages(c))
+
+    return _run_available(spark, sf_dir, "conversations", build).select("session_id", "seq", "path", "safe", "tier")

@@ -23,9 +23,14 @@ def _as_messages(df: DataFrame, **columns) -> DataFrame:
 
 
 def from_conversations(spark: SparkSession, sf_dir: str, step_seconds: int = 30) -> DataFrame:
+    return conversation_messages(table(spark, sf_dir, "conversations"), step_seconds)
+
+
+def conversation_messages(df: DataFrame, step_seconds: int = 30) -> DataFrame:
+    """Turns as messages, of a table or of a stream; they have no times of their own."""
     source = F.when(F.col("role") == "system", "transcript").otherwise(F.col("role"))
     at = F.expr(f"{_START} + make_interval(0, 0, 0, 0, 0, 0, turn * {step_seconds})")
-    return _as_messages(table(spark, sf_dir, "conversations"), seq=F.col("turn"), ts=at, session_id=F.col("conv_id").cast("string"), message_id=F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), source=source, content=F.col("text"))
+    return _as_messages(df, seq=F.col("turn"), ts=at, session_id=F.col("conv_id").cast("string"), message_id=F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), source=source, content=F.col("text"))
 
 
 def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
