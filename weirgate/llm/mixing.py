@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, documents, saved
 
-MOST, BLOCK, SEED = 3, 128, 17
+MOST, BLOCK, SEED = 3, 1024, 17
 WEIGHTS = 3
 _TINY = 1e-9
 
