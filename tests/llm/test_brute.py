@@ -251,6 +251,26 @@ def test_unseen_layouts():
     assert exact >= 95
 
 
+LINE = "Aaaa bbbb cccc dddd eeee ffff gggg, hhhh iiii. Jjjj kkkk."
+PAGES = {
+'wp': (f"<body><header><h1>Site</h1><nav><ul><li><a href=#>Home</a></li></ul></nav></header><main><article><h1>Title here</h1><p>{LINE}</p><p>{LINE}</p><figure><img src=x><figcaption>Caption words here</figcaption></figure></article><section id=comments><h2>2 comments</h2><article class=comment><p>I agree with {LINE}</p></article><article class=comment><p>Nope {LINE}</p></article></section></main><aside class=sidebar><h3>Related</h3><p>{LINE}</p></aside><footer>(c)</footer></body>", f"Title here\n{LINE}\n{LINE}\nCaption words here"),
+'notice': (f"<body><div class='cookie-notice'><p>We use cookies. {LINE}</p><button>OK</button></div><div class=content><h1>T one</h1><p>{LINE}</p><div class=notice>Sub now {LINE}</div><p>{LINE}</p></div></body>", f"T one\n{LINE}\n{LINE}"),
+'inner': (f"<body><article><h1>Tt</h1><p>{LINE}</p><aside>Pull {LINE}</aside><form><label>Mail</label><input><button>Go</button></form><p>{LINE}</p><div class='ad'>Buy {LINE}</div><ul><li>one</li><li>two</li></ul><table><tr><td>c1</td><td>c2</td></tr></table><pre>code  x</pre></article></body>", f"Tt\n{LINE}\n{LINE}\none\ntwo\nc1\nc2\ncode x"),
+'header': (f"<body><article><header><h1>Big title</h1><p class=byline>By X</p></header><p>{LINE}</p><footer>Tags: a</footer></article></body>", LINE),
+'plain': (f"<p>{LINE}</p><p>{LINE}</p>", f"{LINE}\n{LINE}"),
+'divs': (f"<body><div id=menu><a href=#>x</a> <a href=#>y</a></div><div id=page><div id=text>{LINE}<br>{LINE}</div></div><div id=footer>(c) 2020 {LINE}</div></body>", f"{LINE} {LINE}"),
+'dl': (f"<article><h1>H x</h1><dl><dt>term</dt><dd>{LINE}</dd></dl><p>x&nbsp;y</p></article>", f"H x\nterm\n{LINE}\nx y"),
+'advert': (f"<body><div class='advertisement'>{LINE}</div><article><p>{LINE}</p></article><div class='user-comments'><p>{LINE}</p></div><div class='newsletter-signup'>{LINE}</div><div role='banner'>{LINE}</div><div class='site-header'>x</div></body>", LINE),
+'short': ("<body><nav><a href=#>a</a></nav><article><p>Hi.</p></article><footer>f</footer></body>","Hi."),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_handmade_pages(name):
+    html, want = PAGES[name]
+    assert html_text.extract([html], html_text.model()) == [want]
+
+
 def test_page_edges():
     f = lambda h: html_text.extract([h], html_text.model())[0]
     assert f(None) == f("") == f("<p> </p>") == ""

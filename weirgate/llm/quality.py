@@ -68,26 +68,31 @@ def with_rules(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"base_failed": base, "soft_failed": soft})
 
 
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """The prior's two parameters from the hosts' rates: three sums reach the driver. Without hosts it is flat."""
+    # Rates in whole ten-thousandths: the order of their sum doesn't matter.
+    rate = F.round(F.col("host_failures") / F.col("host_docs") * 10000).cast("bigint")
+    k, s1, s2 = hosts.agg(F.count("*"), F.sum(rate), F.sum(rate * rate)).first()
+    if not k:
+        return 1.0, 1.0
+    mean = min(max(s1 / k / 10000, 0.001), 0.999)
+    spread = max(s2 / k / 1e8 - (s1 / k / 10000) * (s1 / k / 10000), 1e-6)
+    weight = max(mean * (1 - mean) / spread - 1, 1.0)
+    return mean * weight, (1 - mean) * weight
+
+
 def host_verdicts(ruled: DataFrame, bad_rate=BAD_RATE) -> DataFrame:
     """host, its documents and failures, shrunk rate and verdict."""
-    hosts = ruled.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("soft_failed").cast("bigint")).alias("host_failures"))
-    rate = F.col("host_failures") / F.col("host_docs")
-    # Sums of the rates in ten-thousandths are whole numbers: their order doesn't matter.
-    parts = F.round(rate * 10000).cast("bigint")
-    sums = hosts.agg(F.count("*").alias("k"), F.sum(parts).alias("s1"), F.sum(parts * parts).alias("s2"))
-    mean = F.least(F.greatest(F.col("s1") / F.col("k") / 10000, F.lit(0.001)), F.lit(0.999))
-    spread = F.greatest(F.col("s2") / F.col("k") / 1e8 - (F.col("s1") / F.col("k") / 10000) * (F.col("s1") / F.col("k") / 10000), F.lit(1e-6))
-    weight = F.greatest(mean * (1 - mean) / spread - 1, F.lit(1.0))
-    prior = sums.select((mean * weight).alias("a"), ((1 - mean) * weight).alias("b"))
-    shrunk = (F.col("host_failures") + F.col("a")) / (F.col("host_docs") + F.col("a") + F.col("b"))
-    # prior is one row.
-    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > bad_rate).alias("host_bad"))
+    # Written, the hosts have no partitioning of their own: both sides of a join with them are dealt anew, and a hot host is split.
+    hosts = saved(ruled.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("soft_failed").cast("bigint")).alias("host_failures")))
+    a, b = beta_prior(hosts)
+    shrunk = (F.col("host_failures") + a) / (F.col("host_docs") + (a + b))
+    return hosts.select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > bad_rate).alias("host_bad"))
 
 
 def judge(df: DataFrame, id_col="doc_id", text_col="text", host_col="source", bad_rate=BAD_RATE) -> DataFrame:
     ruled = with_rules(saved(measures(df, id_col, text_col, host_col)))
-    # Written, the verdicts have no partitioning of their own: both sides of the join are dealt anew, and a hot host is split.
-    joined = ruled.join(saved(host_verdicts(ruled, bad_rate)), "host", "left")
+    joined = ruled.join(host_verdicts(ruled, bad_rate), "host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("host_bad", F.lit(False))))
 
 
