@@ -104,7 +104,8 @@ def _valid(kind: str, c: Column) -> Column:
     """The base check of a match."""
     match, digits = c.match, _digits(c.match)
     if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda x: (F.length(F.ltrim(F.lit("0"), x)) <= 3) & (F.coalesce(F.right(x, F.lit(9)).try_cast("int"), F.lit(0)) <= 255))
+        part = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
+        return match.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
