@@ -84,7 +84,7 @@ def base_spans(text):
 
 def test_base_spans(spark):
     rng = random.Random(4)
-    alphabet = ["4111 1111 1111 1111", "378282246310005", "a.b@c-d.ef", "x@y.z_", "@", ".", "10.0.0.1", "0001.2.3.4", "256.1.1.1", "1.2.3.4.5", "+1 (555) 010-9999", "+", "-", " ", "é", "😀", "12", "123-45-6789", "a", "\n", "(", ")"]
+    alphabet = ["4111 1111 1111 1111", "378282246310005", "a.b@c-d.ef", "x@y.z_", "@", ".", "10.0.0.1", "0001.2.3.4", "256.1.1.1", "1000000001.2.3.4", "10.0.0.4294967297", "000000000.00.255.0249", "1.2.3.4.5", "+1 (555) 010-9999", "+", "-", " ", "é", "😀", "12", "123-45-6789", "a", "\n", "(", ")"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(1500)] + ["1" * 30_000, "a" * 30_000 + "@b.c", "+1" + " " * 30_000, " ".join(f"a{i}@b.example" for i in range(1000))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = pii.find(df).select("doc_id", pii.listed("base").alias("b"), pii.listed("spans").alias("s")).collect()
@@ -419,6 +419,13 @@ def test_language_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97 and m.score.between(0, 1).all() and m.rejected.mean() < 0.01
 
 
+def test_no_letter_is_und():
+    model = language.train(["ein wort und noch eins"] * 6 + ["one word and another"] * 6, ["de"] * 6 + ["en"] * 6)
+    guess = language.Predictor(model)(["²½ ① 12 _", "", None, "\u0966\u0967", "² a"])
+    assert [g[0] for g in guess[:4]] == ["und"] * 4 and all(g[1:] == (0.0, True) for g in guess[:4])
+    assert guess[4][0] in ("de", "en")
+
+
 def test_language_sums_do_not_depend_on_parts():
     model = language.train(["the cat and the dog"] * 10 + ["le chat et le chien"] * 10, ["en"] * 10 + ["fr"] * 10)
     texts = ["the dog " * 300, "le chat", None, "12 34", "", "chien, chat; the é"]

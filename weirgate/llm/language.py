@@ -82,7 +82,7 @@ class Model:
 
 def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, dims=DIMS, epochs=EPOCHS, rate=RATE, keep_share=KEEP_SHARE) -> Model:
     """Texts without a letter are left out; every fifth text calibrates."""
-    pairs = [(t, y) for t, y in zip(texts, labels) if _WORD.search(t)]
+    pairs = [(t, y) for t, y in zip(texts, labels) if any(map(str.isalpha, t))]
     languages = tuple(sorted({y for _, y in pairs}))
     if not languages:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -150,7 +150,7 @@ class Predictor:
     def _segments(self, texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         """(text number, some of its words); the words of a long text come in several segments."""
         for i, text in enumerate(texts):
-            words = _WORD.findall(text.lower()) if text else []
+            words = _WORD.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
             at = size = 0
             for k, w in enumerate(words):
                 size += len(w) + 1
