@@ -135,6 +135,18 @@ def test_inspection_terminates_and_counts_twice(spark):
     assert sorted((t.session_id, t.tier) for t in done.transitions().collect()) == [("a", "tier1"), ("a", "tier3"), ("b", "tier2")]
 
 
+def test_null_session_is_a_session(spark):
+    token = 'token = "' + "a" * 40 + '"'
+    done = inspect(_messages(spark, [(1, 0, None, token), (2, 1, None, "hi"), (3, 0, "b", "hi")]), PipelineConfig())
+    assert {(x.seq, x.session_id, x.safe, len(x.findings)) for x in done.results.collect()} == {(1, None, False, 1), (2, None, True, 0), (3, "b", True, 0)}
+
+
+def test_texts_are_searched_once(spark):
+    """The plan holds the detectors' patterns on the fold's side only."""
+    plan = inspect(_messages(spark, [(1, 0, "a", "hi")]), PipelineConfig()).results._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("AKIA")
+
+
 def test_sinks_are_apart(spark):
     seen, failed = [], []
 

@@ -24,7 +24,8 @@ def importable(spark: SparkSession) -> None:
 def keyed_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[object, dict], tuple[object, dict | None]], out: list[tuple[str, pa.DataType, str]], keep: list[str]) -> DataFrame:
     """`step(state, row) -> (state, outputs)` over the rows of each key, state None at its start; no keys: one order over all rows.
 
-    Returns the columns in keep and the outputs, one row for each input row whose outputs aren't None.
+    Returns the columns in keep and the outputs, one row for each input row whose outputs aren't None. Arrays and structs can
+    be kept, but the step doesn't see them.
     """
     importable(df.sparkSession)
     dealt = df.repartition(*keys) if keys else df.repartition(1)
@@ -36,7 +37,7 @@ def keyed_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[
         state: object = None
         now: object = ()
         for batch in batches:
-            rows = batch.to_pylist()
+            rows = batch.select([f.name for f in batch.schema if not pa.types.is_nested(f.type)]).to_pylist()
             made: list[dict] = []
             kept: list[int] = []
             for i, row in enumerate(rows):

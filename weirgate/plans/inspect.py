@@ -1,6 +1,7 @@
 """Inspection of messages: pure stages for all rows, then one ordered fold per session over narrow rows that decides what counts.
 
-Content never enters the fold's shuffle; its decisions are joined back by session and place.
+Texts are searched once, before the fold. Content never enters the fold's shuffle: what the stages found travels through it
+beside the decisions, and both meet the content again in one join by session and place. Null is a session like any other.
 """
 
 from __future__ import annotations
@@ -80,13 +81,16 @@ def transitions(updates: DataFrame) -> DataFrame:
     return updates.withColumn("rank", Q.rank(F.col("tier"))).withColumn("__most", F.coalesce(F.max("rank").over(before), F.lit(0))).where("rank > __most").drop("__most")
 
 
-def stages(messages: DataFrame, config: PipelineConfig, pack=PACK) -> DataFrame:
-    """The columns that don't depend on the session: pre, schema, findings, sanitized, trusted."""
+def _with_text(messages: DataFrame) -> DataFrame:
     content = F.col("content") if messages.schema["content"].dataType.typeName() == "string" else F.to_json(F.col("content"))
-    df = prefilter(messages.withColumn("content", F.coalesce(content, F.lit(""))), config.prefilter)
+    return messages.withColumn("content", F.coalesce(content, F.lit("")))
+
+
+def stages(messages: DataFrame, config: PipelineConfig, pack=PACK) -> DataFrame:
+    """The columns that don't depend on the session: pre, schema, findings, trusted."""
+    df = prefilter(_with_text(messages), config.prefilter)
     df = validate(df, config.schema)
     df = detect(df, config.scanner, pack)
-    df = redact(df, config.sanitize)
     trusted = (F.col("source") == "mcp") & F.col("server_name").isNotNull() & F.col("server_name").isin(*config.trusted_servers) if config.trusted_servers else F.lit(False)
     return df.withColumn("trusted", F.coalesce(trusted, F.lit(False)))
 
@@ -98,12 +102,17 @@ def inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(), pack
     """
     df = stages(messages, config, pack).withColumn("ts_ms", millis("ts")).withColumn("rejected", F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False)))
     ids = F.transform("findings", lambda f: f.rule_id)
+    found = ["ts_ms", "trusted", "rejected", "pre", "schema", "findings"]
     narrow = df.select(
-        "session_id", "ts_ms", "seq", "trusted", "rejected", F.col("pre.pass").alias("pre_pass"), F.size("pre.rule_ids").alias("n_pre"), Q.total_weight(F.col("pre.rule_ids"), config.frequency).alias("w_pre"),
+        "session_id", "seq", *found, F.col("pre.pass").alias("pre_pass"), F.size("pre.rule_ids").alias("n_pre"), Q.total_weight(F.col("pre.rule_ids"), config.frequency).alias("w_pre"),
         F.arrays_overlap("pre.rule_ids", F.array(*map(F.lit, config.hard_block))).alias("hard"), F.size("findings").alias("n_scan"), Q.total_weight(ids, config.frequency).alias("w_scan"),
     )
-    decided = keyed_fold(narrow, ["session_id"], ["ts_ms", "seq"], inspect_step(config), _OUT, ["session_id", "seq"])
-    joined = df.join(decided, ["session_id", "seq"])
+    decided = keyed_fold(narrow, ["session_id"], ["ts_ms", "seq"], inspect_step(config), _OUT, ["session_id", "seq", *found])
+    # What the stages found comes back with the decisions, so that no text is searched twice.
+    decided = decided.withColumnsRenamed({"session_id": "__s", "seq": "__q"})
+    own = _with_text(messages).drop(*found, *(n for n, _, _ in _OUT), "sanitized")
+    joined = own.join(decided, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("seq") == F.col("__q"))).drop("__s", "__q")
+    joined = redact(joined, config.sanitize)
     early = F.col("path").isin("trusted", "terminated")
     scan_safe = ~F.exists("findings", lambda f: f.blocked)
     safe = F.when(F.col("path") == "trusted", True).when(F.col("path").isin("terminated", "stopped"), False).otherwise(F.col("pre.pass") & (~F.col("scanned") | scan_safe))

