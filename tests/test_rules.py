@@ -98,6 +98,7 @@ def test_guard_state_and_events(spark):
     decided = guard.decide(seen.withColumns({"params": F.lit(None).cast("string"), "policy_decision": F.lit("allow")}))
     assert [(r.ts_ms, r.block) for r in decided.orderBy("ts_ms").collect()] == [(5, False), (10, True)]
     assert sorted(r.event for r in guard.guard_events(decided).collect()) == ["tool_policy_allow", "tool_policy_block", "write_failed"]
+    assert {(r.event, r.cause, r.error_category) for r in guard.guard_events(decided).collect()} == {("tool_policy_allow", None, None), ("tool_policy_block", None, None), ("write_failed", "policy_block", "policy")}
 
 
 def test_breadcrumb(spark):
@@ -116,6 +117,24 @@ def test_options_and_enrichment(spark):
     assert row.severity == "recoverable" and row.blocks[1].endswith("WARNING: 3 consecutive failures.") and row.enricher.error_category == "unknown" and row.reason.startswith("Circuit open")
 
 
+def test_objects_as_text(spark):
+    from weirgate.functions import json as J
+
+    deep = lambda n: "[" * n + "1" + "]" * n
+    assert J.cut_text(deep(32)) == deep(32)
+    assert J.cut_text('{"a":' + deep(40) + ',"]":[2]}') == '{"a":' + "[" * 31 + '"[Depth limit]"' + "]" * 31 + ',"]":[2]}'
+    df = spark.sql(f"SELECT named_struct('a', CAST(NULL AS INT), 'b', array(1)) AS s, parse_json('{deep(40)}') AS v, parse_json('[1,null]') AS w, " + "array(" * 34 + "1" + ")" * 34 + " AS d")
+    row = df.select(*(J.stringify(F.col(c), df.schema[c].dataType).alias(c) for c in "svwd")).first()
+    assert row.s == '{"a":null,"b":[1]}' and row.w == "[1,null]" and row.v == row.d == "[" * 32 + '"[Depth limit]"' + "]" * 32
+
+
+def test_session_ids(spark):
+    rows = [("k", "c", "x", "y"), ("", "c", "x", "y"), (None, "c", None, "y"), (None, None, "x", None), (None, "c", "", "y"), (None, "c", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, c string, v string, a string")
+    got = [r.s for r in df.select("i", gateway.session_id(F.col("k"), F.col("c"), F.col("v"), F.col("a"), F.col("i")).alias("s")).orderBy("i").collect()]
+    assert got[:4] == ["k", "c:x", "c:y", "unknown:x"] and all(x.startswith("c:ephemeral:") for x in got[4:]) and got[4] != got[5]
+
+
 def test_scan_and_sanitize(spark):
     df = spark.sql("SELECT named_struct('a', 'mail me: a@b.example') AS content")
     made = scanner.scan_and_sanitize(df)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 def is_json(x: Column) -> Column:
@@ -50,3 +54,61 @@ def type_of(v: Column) -> Column:
 def parse_or_text(x: Column) -> Column:
     """struct(json, text): the value if the text is JSON, else null beside the text itself."""
     return F.struct(F.when(is_json(x), F.try_parse_json(x)).alias("json"), x.alias("text"))
+
+
+#: Levels of an object that its text keeps, and what stands for those below.
+KEPT_DEPTH, CUT = 32, "[Depth limit]"
+_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
+
+
+def cut_text(text: str, most: int = KEPT_DEPTH) -> str:
+    """JSON text with every object or array below `most` levels replaced by a mark."""
+    out, at, level = [], 0, 0
+    for m in _PART.finditer(text):
+        c = m[0]
+        if c in "[{":
+            level += 1
+            if level == most + 1:
+                out += [text[at : m.start()], f'"{CUT}"']
+        elif c in "]}":
+            if level == most + 1:
+                at = m.end()
+            level -= 1
+    return "".join(out) + text[at:]
+
+
+@F.pandas_udf(StringType())
+def _cut_text(texts: pd.Series) -> pd.Series:
+    return texts.map(cut_text, na_action="ignore")
+
+
+def _cut(x: Column, kind: DataType, left: int) -> Column:
+    if not isinstance(kind, (StructType, ArrayType, MapType)):
+        return x
+    if not left:
+        return F.when(x.isNotNull(), F.lit(CUT))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*(_cut(x.getField(f.name), f.dataType, left - 1).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: _cut(e, kind.elementType, left - 1))
+    return F.transform_values(x, lambda _, e: _cut(e, kind.valueType, left - 1))
+
+
+def _levels(kind: DataType) -> int:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else [kind.valueType] if isinstance(kind, MapType) else None
+    return 0 if inner is None else 1 + max(map(_levels, inner), default=0)
+
+
+def stringify(x: Column, kind: DataType) -> Column:
+    """Text of any value: strings as they are, objects as JSON with their nulls, down to KEPT_DEPTH levels.
+
+    A type's own depth is cut in the plan; only variants, whose depth is data, need Python, and only the deep ones.
+    """
+    if isinstance(kind, StringType):
+        return x
+    if kind.typeName() == "variant":
+        text = F.to_json(x)
+        return F.coalesce(_cut_text(F.when(depth(text) > KEPT_DEPTH, text)), text)
+    if isinstance(kind, (StructType, ArrayType, MapType)):
+        return F.to_json(_cut(x, kind, KEPT_DEPTH) if _levels(kind) > KEPT_DEPTH else x, {"ignoreNullFields": "false"})
+    return x.cast("string")

@@ -124,11 +124,29 @@ def decide(rows: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
     return out.unionByName(rest.withColumn("disposition", F.when(F.col("fresh"), "delivered").otherwise("suppressed")).drop("fresh"))
 
 
-def build(decided: DataFrame) -> DataFrame:
-    """Delivered alerts with their id, a hash of rule, session and place."""
-    ident = F.sha2(F.concat_ws("|", "alert_rule", "session_id", F.col("ts_ms").cast("string"), F.col("seq").cast("string")), 256)
+def _settings(config: AlertConfig) -> Column:
+    """The settings of the rule that a row is of, as text by name."""
+    of = {
+        "syntacticFailBurst": {"count": config.burst_count, "windowMinutes": config.burst_minutes}, "writeFailSpike": {"count": config.write_count, "windowMinutes": config.write_minutes},
+        "toolPolicyBlock": {"count": config.policy_count, "windowMinutes": config.policy_minutes}, "scanBlockAfterSyntacticPass": {"escalateAfter": config.escalate_after}, "trustedToolSchemaFail": {"enabled": True},
+    }
+    out = F.create_map().cast("map<string,string>")
+    for rule, values in of.items():
+        out = F.when(F.col("alert_rule") == rule, F.create_map(*(F.lit(str(x).lower() if isinstance(x, bool) else str(x) if i else x) for pair in values.items() for i, x in enumerate(pair)))).otherwise(out)
+    return out
+
+
+def build(decided: DataFrame, config: AlertConfig = AlertConfig(), events: DataFrame | None = None) -> DataFrame:
+    """Delivered alerts with their id, a hash of rule, session and place; of events, the session's last ones up to the trigger are added as context."""
+    ident = F.sha2(F.concat_ws("|", "alert_rule", F.coalesce("session_id", F.lit("")), F.col("ts_ms").cast("string"), F.col("seq").cast("string")), 256)
     more = F.when(F.col("occurrence").isNotNull(), F.concat(F.col("summary"), F.lit(" (occurrence "), F.col("occurrence").cast("string"), F.lit(")"))).otherwise(F.col("summary"))
-    return decided.where("disposition = 'delivered'").select(ident.alias("alert_id"), "alert_rule", F.col("final_severity").alias("severity"), "session_id", "ts_ms", "seq", more.alias("summary"), F.col("__score").alias("score"))
+    at = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    made = decided.where("disposition = 'delivered'").select(ident.alias("alert_id"), "alert_rule", F.col("final_severity").alias("severity"), "session_id", at.alias("timestamp"), "ts_ms", "seq", more.alias("summary"), F.col("__score").alias("score"), F.col("event").alias("trigger"), _settings(config).alias("rule_config"))
+    if events is None:
+        return made
+    told = recent_context(events, config.context).select(F.col("session_id").alias("__s"), F.col("ts_ms").alias("__t"), F.col("seq").alias("__q"), F.col("event").alias("__e"), "context")
+    same = F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("ts_ms") == F.col("__t")) & (F.col("seq") == F.col("__q")) & (F.col("trigger") == F.col("__e"))
+    return made.join(told, same, "left").drop("__s", "__t", "__q", "__e")
 
 
 def recent_context(events: DataFrame, most: int = 20) -> DataFrame:

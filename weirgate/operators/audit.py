@@ -1,11 +1,14 @@
-"""Audit events as a projection of inspection results, in the order in which a message emits them."""
+"""Audit events as a projection of inspection results, in the order in which a message emits them.
+
+Of what was removed from a text an event holds places, lengths and keyed hashes, never the text itself.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.config import VERBOSITIES, AuditConfig
+from ..plans.config import VERBOSITIES, AuditConfig, Profile, resolve_profile
 
 # The least verbosity at which each event is emitted.
 LEAST = {
@@ -15,7 +18,8 @@ LEAST = {
     "rule_triggered": 2, "output_diff": 2, "tool_policy_allow": 2, "raw_input_captured": 3, "raw_output_captured": 3,
 }
 
-_FIELDS = (("event", "string"), ("pass", "boolean"), ("rule_ids", "array<string>"), ("rule_id", "string"), ("category", "string"), ("severity", "string"), ("score", "double"), ("count", "int"), ("trusted", "boolean"), ("removals", "array<string>"), ("replacements", "array<string>"), ("content", "string"), ("length", "int"), ("sha256", "string"), ("stage", "string"))
+_FIELDS = (("event", "string"), ("pass", "boolean"), ("rule_ids", "array<string>"), ("rule_id", "string"), ("category", "string"), ("severity", "string"), ("score", "double"), ("count", "int"), ("trusted", "boolean"), ("flags", "array<string>"), ("violations", "array<string>"), ("blocking_count", "int"), ("blocked", "boolean"), ("previous_score", "double"), ("terminated", "boolean"), ("characters_removed", "int"),
+           ("removals", "array<struct<rule_id:string,position:int,matched_length:int,content_hash:string,fallback:boolean>>"), ("replacements", "array<struct<rule_id:string,length_before:int,length_after:int,fallback:boolean>>"), ("content", "string"), ("length", "int"), ("sha256", "string"), ("stage", "string"))
 
 
 def _event(name: Column | str, **values: Column) -> Column:
@@ -37,7 +41,7 @@ def category(rule: Column) -> Column:
 
 
 def _tier_event(n: int) -> Column:
-    return F.when(F.col(f"tier{n}") != "none", _event(F.concat(F.lit("frequency_escalation_"), F.col(f"tier{n}")), score=F.col(f"score{n}")))
+    return F.when(F.col(f"tier{n}") != "none", _event(F.concat(F.lit("frequency_escalation_"), F.col(f"tier{n}")), score=F.col(f"score{n}"), previous_score=F.col(f"previous{n}"), terminated=F.col(f"tier{n}") == "tier3"))
 
 
 def all_events(results: DataFrame) -> DataFrame:
@@ -50,19 +54,19 @@ def all_events(results: DataFrame) -> DataFrame:
     scan_rules = F.array_distinct(F.transform(found, lambda f: f.rule_id))
     rows = lambda *xs: F.array_compact(F.array(*xs))
     safe = ~F.exists(found, lambda f: f.blocked)
-    single = F.array_compact(F.array(F.when(F.col("path") == "terminated", _event("frequency_escalation_tier3", score=F.col("score1")))))
+    single = F.array_compact(F.array(F.when(F.col("path") == "terminated", _event("frequency_escalation_tier3", score=F.col("score1"), previous_score=F.col("previous1"), terminated=F.lit(True)))))
     parts = [
         single,
-        rows(F.when(pre.isNotNull(), _event(syntactic, **{"pass": pre["pass"]}, rule_ids=rules, stage=F.lit("syntactic")))),
+        rows(F.when(pre.isNotNull(), _event(syntactic, **{"pass": pre["pass"]}, rule_ids=rules, flags=pre["flags"], stage=F.lit("syntactic")))),
         F.transform(F.coalesce(rules, none), lambda r: _event("rule_triggered", rule_id=r, category=category(r), severity=severity, stage=F.lit("syntactic"))),
-        rows(F.when(F.size(rules) > 0, _event("flags_summary", rule_ids=rules, count=F.size(rules), stage=F.lit("syntactic"))), _tier_event(1)),
-        rows(F.when(F.col("schema").isNotNull(), _event(F.when(F.col("schema.pass"), "schema_pass").otherwise("schema_fail"), **{"pass": F.col("schema.pass")}, rule_ids=F.col("schema.rule_ids"), trusted=F.col("trusted")))),
-        rows(F.when(F.col("path") == "trusted", _event("scan_pass", **{"pass": F.lit(True)}, count=F.lit(0))).when(found.isNotNull(), _event(F.when(safe, "scan_pass").otherwise("scan_block"), **{"pass": safe}, rule_ids=scan_rules, count=F.size(found)))),
+        rows(F.when(F.size(rules) > 0, _event("flags_summary", rule_ids=rules, count=F.size(rules), blocked=~pre["pass"], stage=F.lit("syntactic"))), _tier_event(1)),
+        rows(F.when(F.col("schema").isNotNull(), _event(F.when(F.col("schema.pass"), "schema_pass").otherwise("schema_fail"), **{"pass": F.col("schema.pass")}, rule_ids=F.col("schema.rule_ids"), violations=F.col("schema.violations"), trusted=F.col("trusted")))),
+        rows(F.when(F.col("path") == "trusted", _event("scan_pass", **{"pass": F.lit(True)}, count=F.lit(0), blocking_count=F.lit(0))).when(found.isNotNull(), _event(F.when(safe, "scan_pass").otherwise("scan_block"), **{"pass": safe}, rule_ids=scan_rules, count=F.size(found), blocking_count=F.size(F.filter(found, lambda f: f.blocked))))),
         F.transform(F.coalesce(scan_rules, none), lambda r: _event("rule_triggered", rule_id=r, category=category(r), severity=F.when(F.element_at(F.filter(found, lambda f: f.rule_id == r), -1).blocked, "block").otherwise("flag"), stage=F.lit("scanner"))),
-        rows(F.when(F.size(found) > 0, _event("flags_summary", rule_ids=scan_rules, count=F.size(found), stage=F.lit("scanner"))), _tier_event(2)),
+        rows(F.when(F.size(found) > 0, _event("flags_summary", rule_ids=scan_rules, count=F.size(found), blocked=~safe, stage=F.lit("scanner"))), _tier_event(2)),
         rows(
-            F.when(clean.isNotNull() & (clean["count"] > 0), _event("content_sanitized", rule_ids=clean.rule_ids, count=clean["count"])),
-            F.when(clean.isNotNull() & (clean["count"] > 0), _event("output_diff", removals=F.transform(clean.redactions, lambda r: F.substring(F.col("content"), r.position + 1, r.matched_length)), replacements=F.transform(clean.redactions, lambda r: r.replacement))),
+            F.when(clean.isNotNull() & (clean["count"] > 0), _event("content_sanitized", rule_ids=clean.rule_ids, count=clean["count"], characters_removed=clean.removed)),
+            F.when(clean.isNotNull() & (clean["count"] > 0), _event("output_diff", removals=F.transform(clean.redactions, lambda r: F.struct(r.rule_id, r.position, r.matched_length, r.content_hash, r.fallback)), replacements=F.transform(clean.redactions, lambda r: F.struct(r.rule_id, r.matched_length, F.length(r.replacement), r.fallback)))),
             F.when(F.col("path").isin("full", "gated"), _event("raw_input_captured", content=F.col("content"), length=F.length("content"), sha256=F.sha2("content", 256))),
             F.when(F.col("path").isin("full", "gated") & clean.isNotNull(), _event("raw_output_captured", content=clean.content, length=F.length(clean.content), sha256=F.sha2(clean.content, 256))),
         ),
@@ -94,7 +98,12 @@ def stats(results: DataFrame, config: AuditConfig) -> DataFrame:
     return all_events(results).groupBy("event").agg(F.count_if(gate).alias("emitted"), F.count_if(~gate).alias("dropped"))
 
 
-def construction_events(spark, profile: str, config: AuditConfig) -> DataFrame:
-    """The events of a run's start, of session __init__."""
-    rows = spark.range(1).select(F.explode(F.array(F.struct(F.lit("profile_loaded").alias("event"), F.lit(profile).alias("detail")), F.struct(F.lit("audit_config_loaded").alias("event"), F.lit(config.verbosity).alias("detail")))).alias("e"))
-    return rows.select(F.lit("__init__").alias("session_id"), "e.*").where(emitted(F.col("event"), config))
+def construction_events(spark, profile: str | Profile, config: AuditConfig) -> DataFrame:
+    """The events of a run's start, of session __init__: the profile with what it changes, and the audit's own settings."""
+    p = resolve_profile(profile) if isinstance(profile, str) else profile
+    empty = F.array().cast("array<string>")
+    suppressed = F.array(*map(F.lit, p.suppress)) if p.suppress else empty
+    overrides = F.create_map(*(F.lit(x) for pair in p.weights for x in pair)) if p.weights else F.create_map().cast("map<string,double>")
+    loaded = F.struct(F.lit("profile_loaded").alias("event"), F.lit(p.name).alias("detail"), suppressed.alias("suppressed_rules"), overrides.alias("frequency_overrides"), F.lit(None).cast("boolean").alias("enabled"))
+    audit = F.struct(F.lit("audit_config_loaded").alias("event"), F.lit(config.verbosity).alias("detail"), empty.alias("suppressed_rules"), F.create_map().cast("map<string,double>").alias("frequency_overrides"), F.lit(config.enabled).alias("enabled"))
+    return spark.range(1).select(F.lit("__init__").alias("session_id"), F.inline(F.array(loaded, audit))).where(emitted(F.col("event"), config))

@@ -10,8 +10,9 @@ from ..plans.config import GatewayConfig
 
 
 def session_id(key: Column, channel: Column, conversation: Column, account: Column, row: Column) -> Column:
-    where = F.coalesce(F.nullif(conversation, F.lit("")), F.nullif(account, F.lit("")))
-    return F.coalesce(F.nullif(key, F.lit("")), F.when(where.isNotNull(), F.concat_ws(":", channel, where)), F.concat(channel, F.lit(":ephemeral:"), F.sha2(row.cast("string"), 256)))
+    """The key; else the channel with the conversation (the account only where that is null); else an id of this row alone."""
+    channel, where = F.coalesce(channel, F.lit("unknown")), F.nullif(F.coalesce(conversation, account), F.lit(""))
+    return F.coalesce(F.nullif(key, F.lit("")), F.concat(channel, F.lit(":"), where), F.concat(channel, F.lit(":ephemeral:"), F.sha2(row.cast("string"), 256)))
 
 
 def exempt(channel: Column, sender: Column, inbound: Column, config: GatewayConfig) -> Column:

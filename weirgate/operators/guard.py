@@ -54,9 +54,11 @@ def decide(calls: DataFrame, config: GuardConfig = GuardConfig()) -> DataFrame:
 
 
 def guard_events(decided: DataFrame) -> DataFrame:
-    """tool_policy_block or tool_policy_allow for each call, and write_failed for each write that was blocked."""
+    """tool_policy_block or tool_policy_allow for each call, and write_failed, with its cause, for each write that was blocked."""
     event = F.array_compact(F.array(F.when(F.col("block"), "tool_policy_block").otherwise("tool_policy_allow"), F.when(F.col("block") & (F.col("tool") == "write"), "write_failed")))
-    return decided.withColumn("event", F.explode(event))
+    rows = decided.withColumn("event", F.explode(event))
+    failed = lambda x: F.when(F.col("event") == "write_failed", x)
+    return rows.withColumns({"cause": failed(F.lit("policy_block")), "error_category": failed(F.lit("policy")), "error_summary": failed(F.coalesce("reason", F.lit("blocked by guard")))})
 
 
 def state_at(calls: DataFrame, states: DataFrame) -> DataFrame:

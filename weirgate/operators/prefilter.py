@@ -43,9 +43,7 @@ def _says(lower: Column, phrases: tuple[str, ...]) -> Column:
 
 def prefilter(df: DataFrame, config: PrefilterConfig = PrefilterConfig(), content: str = "content", out: str = "pre") -> DataFrame:
     """Adds struct(pass, rule_ids, flags). A null content counts as empty; a content of another type is taken as JSON text."""
-    raw_type = df.schema[content].dataType.typeName()
-    raw = F.col(content) if raw_type == "string" else F.to_json(F.col(content)) if raw_type in ("struct", "array", "map", "variant") else F.col(content).cast("string")
-    df = df.withColumn("__raw", F.coalesce(raw, F.lit("")))
+    df = df.withColumn("__raw", F.coalesce(J.stringify(F.col(content), df.schema[content].dataType), F.lit("")))
     x = F.col("__raw")
     size = F.octet_length(x)
     over = size > config.max_payload_bytes

@@ -55,9 +55,9 @@ def redact(df: DataFrame, config: SanitizeConfig = SanitizeConfig(), content="co
         lambda acc, r: F.struct(r.end.alias("at"), F.concat(acc.out, F.array(F.substring(text, acc.at + 1, r.start - acc.at), mark(r))).alias("out")),
         lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.length(text))),
     )
-    details = F.transform("__g", lambda r: F.struct(r.start.alias("position"), (r.end - r.start).alias("matched_length"), digest(r).alias("content_hash"), mark(r).alias("replacement"), r.fallback.alias("fallback")))
+    details = F.transform("__g", lambda r: F.struct(r.start.alias("position"), (r.end - r.start).alias("matched_length"), digest(r).alias("content_hash"), mark(r).alias("replacement"), r.fallback.alias("fallback"), r.rule_id.alias("rule_id")))
     made = F.struct(
-        F.when(F.size("__g") > 0, rebuilt).otherwise(text).alias("content"), F.coalesce(details, F.array().cast("array<struct<position:int,matched_length:int,content_hash:string,replacement:string,fallback:boolean>>")).alias("redactions"),
+        F.when(F.size("__g") > 0, rebuilt).otherwise(text).alias("content"), F.coalesce(details, F.array().cast("array<struct<position:int,matched_length:int,content_hash:string,replacement:string,fallback:boolean,rule_id:string>>")).alias("redactions"),
         F.when(F.col("__g").isNotNull(), F.size("__g")).otherwise(0).alias("count"),
         F.coalesce(F.aggregate("__g", F.lit(0), lambda a, r: a + r.end - r.start), F.lit(0)).alias("removed"), F.length(text).alias("original_length"),
         F.when(F.col("__g").isNotNull(), F.size(F.filter("__g", lambda r: r.fallback))).otherwise(0).alias("fallback_count"),

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..plans.config import NAMESPACE, SEVERITIES, ScannerConfig
 
 
@@ -130,6 +131,5 @@ def scan_and_sanitize(df: DataFrame, config: ScannerConfig = ScannerConfig(), sa
     from ..plans.config import SanitizeConfig
     from .redact import redact
 
-    if df.schema[content].dataType.typeName() in ("struct", "array", "map", "variant"):
-        df = df.withColumn(content, F.to_json(F.col(content)))
+    df = df.withColumn(content, J.stringify(F.col(content), df.schema[content].dataType))
     return redact(detect(df, config, pack, content), sanitize or SanitizeConfig(), content)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions.text import millis
 from ..operators import frequency as Q
 from ..operators.fold import keyed_fold
@@ -82,8 +83,7 @@ def transitions(updates: DataFrame) -> DataFrame:
 
 
 def _with_text(messages: DataFrame) -> DataFrame:
-    content = F.col("content") if messages.schema["content"].dataType.typeName() == "string" else F.to_json(F.col("content"))
-    return messages.withColumn("content", F.coalesce(content, F.lit("")))
+    return messages.withColumn("content", F.coalesce(J.stringify(F.col("content"), messages.schema["content"].dataType), F.lit("")))
 
 
 def stages(messages: DataFrame, config: PipelineConfig, pack=PACK) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.config import NAMESPACE
+
 MESSAGES = "seq bigint, ts timestamp, session_id string, message_id string, tool_call_id string, source string, server_name string, tool_name string, content string"
 _START = "TIMESTAMP '2024-01-01 00:00:00'"
 
@@ -47,7 +51,7 @@ def union_events(*frames: DataFrame) -> DataFrame:
 
 
 def write_each(sinks: dict, on_error=None):
-    """A foreachBatch function that writes a batch to every sink; one that fails doesn't stop the others, and is reported."""
+    """A foreachBatch function that writes a batch to every sink; one that fails doesn't stop the others, and is reported, or else warned of."""
 
     def run(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -59,7 +63,7 @@ def write_each(sinks: dict, on_error=None):
                     if on_error:
                         on_error(name, e)
                     else:
-                        raise
+                        warnings.warn(f"sink {name} failed: {e}", stacklevel=2)
         finally:
             batch.unpersist()
 
@@ -72,6 +76,23 @@ def log_lines(events: DataFrame) -> DataFrame:
     return events.select(F.when(critical, "error").otherwise("info").alias("level"), F.to_json(F.struct(*events.columns)).alias("value"))
 
 
-def ingest_rows(alerts: DataFrame, namespace: str) -> DataFrame:
-    """(type, namespace, tags, text, notify) of each alert; only high and critical ones notify."""
-    return alerts.select(F.lit("alert").alias("type"), F.lit(namespace).alias("namespace"), F.array("alert_rule", "severity").alias("tags"), F.col("summary").alias("text"), F.col("severity").isin("high", "critical").alias("notify"))
+def choose_sinks(mode: str, log, ingest=None) -> dict:
+    """The sinks of a mode: log, ingest or both. Without one to ingest with, both falls back to the log, and ingest is refused."""
+    if mode not in ("log", "ingest", "both"):
+        raise ValueError(f"unknown sink mode {mode!r}")
+    if ingest is None and mode == "ingest":
+        raise ValueError("mode ingest needs a sink to ingest with")
+    if ingest is None and mode == "both":
+        warnings.warn("no sink to ingest with: log only", stacklevel=2)
+    chosen = {"log": log} if mode != "ingest" else {}
+    return chosen | ({"ingest": ingest} if ingest is not None and mode != "log" else {})
+
+
+def ingest_rows(rows: DataFrame, namespace: str = "security") -> DataFrame:
+    """(type, namespace, tags, text, notify, message) of audit events, or of alerts; only high and critical alerts notify."""
+    text = F.to_json(F.struct(*rows.columns))
+    if "alert_rule" not in rows.columns:
+        return rows.select(F.lit(f"{NAMESPACE}_audit").alias("type"), F.lit(namespace).alias("namespace"), F.array(F.lit(NAMESPACE), "event").alias("tags"), text.alias("text"), F.lit(False).alias("notify"), F.lit(None).cast("string").alias("message"))
+    loud = F.col("severity").isin("high", "critical")
+    message = F.concat(F.lit(f"[{NAMESPACE} "), "severity", F.lit("] "), "alert_rule", F.lit(": "), "summary")
+    return rows.select(F.lit(f"{NAMESPACE}_alert").alias("type"), F.lit(namespace).alias("namespace"), F.array(F.lit(NAMESPACE), F.lit("alert"), "severity").alias("tags"), text.alias("text"), loud.alias("notify"), F.when(loud, message).alias("message"))
