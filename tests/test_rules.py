@@ -114,7 +114,7 @@ def test_options_and_enrichment(spark):
         from_options(GatewayConfig, {"odd": 1})
     df = spark.sql("SELECT 'x' AS tool_name, 'boom' AS error_text, 3 AS attempt, map('q', '1') AS params, true AS cut, array('boom') AS blocks, true AS blocked")
     row = toolerrors.breaker_reason(toolerrors.with_enrichment(toolerrors.advice(df))).first()
-    assert row.severity == "recoverable" and row.blocks[1].endswith("WARNING: 3 consecutive failures.") and row.enricher.error_category == "unknown" and row.reason.startswith("Circuit open")
+    assert row.severity == "recoverable" and row.blocks[1].endswith("WARNING: This is attempt 3 of 3. The next invocation of x will be blocked.") and row.enricher.error_category == "unknown" and row.reason.startswith("x has failed 3 consecutive times (unknown).")
 
 
 def test_objects_as_text(spark):
@@ -135,6 +135,37 @@ def test_session_ids(spark):
     assert got[:4] == ["k", "c:x", "c:y", "unknown:x"] and all(x.startswith("c:ephemeral:") for x in got[4:]) and got[4] != got[5]
 
 
+def test_remediation(spark):
+    import json
+
+    say = lambda **m: json.dumps(m)
+    T = "srv__memory_search"
+    rows = [
+        ("s", 1, "tool_result_persist", T, None, None, say(isError=True, content="boom"), False),  # no counter: a first attempt that isn't kept
+        ("s", 2, "before_tool_call", T, None, None, None, None),
+        ("s", 3, "after_tool_call", T, '{"q":"x","Token":"t","n":[1]}', "timeout", None, None),
+        ("s", 4, "tool_result_persist", None, None, None, say(isError=True, content=[{"name": "memory_search", "text": "request timed out"}]), False),
+        ("s", 5, "after_tool_call", T, '{"q":"x"}', None, None, None),
+        ("s", 6, "tool_result_persist", None, None, None, say(toolName=T, content=[{"text": "Error: invalid source_type"}]), False),
+        ("s", 7, "tool_result_persist", T, None, None, say(content="{}", details={"status": "error", "error": "HTTP 429"}), False),
+        ("s", 8, "tool_result_persist", T, None, None, say(content="Error: made up"), True),
+        ("s", 9, "before_tool_call", T, None, None, None, None),
+        ("s", 10, "tool_result_persist", T, None, None, say(content="fine"), None),
+        ("s", 11, "before_tool_call", T, None, None, None, None),
+        ("s", 12, "after_tool_call", T, None, "x", None, None),
+        ("s", 13, "session_end", None, None, None, None, None),
+        ("s", 14, "before_tool_call", "memory_search", None, None, None, None),
+        ("s", 15, "tool_result_persist", "other", None, None, say(isError=True, content="boom"), None),
+        (None, 16, "before_tool_call", T, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(s, i * 1000, i, *r) for s, i, *r in rows], "session_id string, ts_ms bigint, seq bigint, kind string, tool_name string, params string, error string, message string, synthetic boolean")
+    got = {r.seq: r for r in toolerrors.remediate(df).collect()}
+    assert {i: (r.attempt, r.blocked) for i, r in got.items()} == {1: (1, False), 2: (0, False), 4: (1, False), 6: (2, False), 7: (3, False), 9: (3, True), 11: (0, False), 14: (0, False)}
+    assert got[4].enricher.error_category == "timeout" and got[4].enricher.severity == "transient" and got[4].enricher.tool_name == "memory_search" and len(got[4].blocks) == 2
+    assert got[6].enricher.template_source == "tool" and 'q: "x"' in got[6].blocks[-1]
+    assert got[7].enricher.severity == "terminal" and "(rate_limit)" in got[7].blocks[-1] and "(rate_limit)" in got[9].reason and got[9].blocks is None
+
+
 def test_scan_and_sanitize(spark):
     df = spark.sql("SELECT named_struct('a', 'mail me: a@b.example') AS content")
     made = scanner.scan_and_sanitize(df)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
+from .fold import keyed_fold
 
 MAX_ATTEMPTS = 3
 MAX_ADVICE = 800
@@ -136,12 +138,107 @@ def with_enrichment(rows: DataFrame) -> DataFrame:
 
     A text that was cut off can't be judged terminal; from the third attempt on the advice ends in a warning.
     """
-    warning = F.when(F.coalesce("cut", F.lit(False)) & (F.col("attempt") >= MAX_ATTEMPTS), F.concat(F.lit(" WARNING: "), F.col("attempt").cast("string"), F.lit(" consecutive failures."))).otherwise("")
-    text = F.concat(F.col("advice"), warning)
-    details = F.struct("tool_name", F.col("severity").alias("severity"), F.col("category").alias("error_category"), F.col("source").alias("template_source"), "attempt", F.lit(MAX_ATTEMPTS).alias("max_attempts"))
+    late = F.coalesce("cut", F.lit(False)) & (F.col("attempt") >= MAX_ATTEMPTS)
+    warning = F.concat(F.lit(" WARNING: This is attempt "), F.col("attempt").cast("string"), F.lit(f" of {MAX_ATTEMPTS}. The next invocation of "), tool_of(F.col("tool_name")), F.lit(" will be blocked."))
+    text = F.when(late, truncated(F.concat("advice", warning), MAX_ADVICE)).otherwise(F.col("advice"))
+    details = F.struct(tool_of(F.col("tool_name")).alias("tool_name"), F.col("severity").alias("severity"), F.col("category").alias("error_category"), F.col("source").alias("template_source"), "attempt", F.lit(MAX_ATTEMPTS).alias("max_attempts"))
     return rows.withColumns({"blocks": F.array_append("blocks", text), "enricher": details})
 
 
 def breaker_reason(rows: DataFrame) -> DataFrame:
-    """Adds reason where the breaker was open before the call."""
-    return rows.withColumn("reason", F.when(F.col("blocked"), F.concat(F.lit("Circuit open: "), F.col("tool_name"), F.lit(f" failed {MAX_ATTEMPTS} times in a row"))))
+    """Adds reason where the breaker was open before the call. rows: tool_name, blocked, attempt (failures so far), error_text (the last one's)."""
+    tool = tool_of(F.col("tool_name"))
+    text = F.concat(tool, F.lit(" has failed "), F.col("attempt").cast("string"), F.lit(" consecutive times ("), category_of(F.coalesce("error_text", F.lit(""))), F.lit("). Inform the user that "), tool, F.lit(" is currently unavailable and suggest checking the MCP server or network connectivity."))
+    return rows.withColumn("reason", F.when(F.col("blocked"), text))
+
+
+# ---- whole sessions of tool events
+
+#: Where a text was cut off before it came here, it says so.
+CUT_MARK = "... [truncated]"
+
+
+def _text(v: Column, path: str) -> Column:
+    """The string at a path of a variant; null if there is none, it is empty or no string."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.nullif(F.try_variant_get(v, path, "string"), F.lit("")))
+
+
+def read_messages(events: DataFrame) -> DataFrame:
+    """Adds what a tool's result says of itself, of its JSON text `message`: tool, flagged, failed (by its details), lead, blocks, error_text, details_error."""
+    v = F.try_parse_json("message")
+    df = events.withColumn("__v", v).withColumn("__c", F.try_variant_get("__v", "$.content", "variant"))
+    kind = F.coalesce(F.schema_of_variant("__c"), F.lit(""))
+    df = df.withColumn("__b", F.when(kind.startswith("ARRAY"), F.try_variant_get("__c", "$", "array<variant>")))
+    names = lambda x: F.coalesce(_text(x, "$.name"), _text(x, "$.toolName"))
+    of_blocks = F.get(F.filter(F.transform("__b", names), lambda n: n.isNotNull()), 0)
+    of_object = F.when(kind.startswith("OBJECT"), names(F.col("__c")))
+    whole = F.when(kind == "STRING", F.try_variant_get("__c", "$", "string"))
+    is_text = lambda b: F.schema_of_variant(F.try_variant_get(b, "$.text", "variant")) == "STRING"
+    texts = F.transform(F.filter("__b", lambda b: F.coalesce(is_text(b), F.lit(False))), lambda b: F.try_variant_get(b, "$.text", "string"))
+    first = F.when(F.size("__b") > 0, F.try_variant_get(F.get("__b", 0), "$.text", "string"))
+    joined = F.coalesce(whole, F.array_join(texts, " "), F.lit(""))
+    details = _text(F.col("__v"), "$.details.error")
+    return df.withColumns({
+        "tool": tool_of(F.coalesce(F.nullif("tool_name", F.lit("")), of_blocks, of_object, _text(F.col("__v"), "$.toolName"), _text(F.col("__v"), "$.name"))),
+        "flagged": F.coalesce(F.try_variant_get("__v", "$.isError", "boolean"), F.lit(False)),
+        "failed": F.coalesce(_text(F.col("__v"), "$.details.status") == "error", F.lit(False)),
+        "lead": F.coalesce(whole, first, F.lit("")), "blocks": F.coalesce(texts, F.array(F.coalesce(whole, F.lit("")))), "details_error": details,
+        "error_text": F.when(details.isNotNull() & ((joined == "") | joined.startswith("{")), details).otherwise(joined),
+    }).drop("__v", "__c", "__b")
+
+
+def remediation_step(known: frozenset[str]):
+    """Counters of one session's tools. A flagged result was counted when its call came back; one that only its text or details
+    give away is counted here. Without an earlier call, a flagged result is a first attempt that leaves no counter."""
+
+    def step(state, row):
+        state = state or {}
+        kind, tool = row["kind"], row["tool"]
+        if kind in ("session_end", "before_reset"):
+            return {}, None
+        if tool not in known:
+            return state, None
+        held = state.get(tool)
+        out = {"attempt": held["n"] if held else 0, "last_error": held["error"] if held else "", "last_params": held["params"] if held else None, "blocked": False, "enrich": False}
+        if kind == "after_tool_call":
+            bad = row["error"] is not None
+            state[tool] = {"n": out["attempt"] + bad, "error": row["error"] if bad else out["last_error"], "params": row["params"]}
+            return state, None
+        if kind == "before_tool_call":
+            return state, out | {"blocked": out["attempt"] >= MAX_ATTEMPTS}
+        if kind != "tool_result_persist" or row["synthetic"]:
+            return state, None
+        by_text = not row["flagged"] and not row["failed"] and row["lead"].startswith("Error:")
+        if not (row["flagged"] or row["failed"] or by_text):
+            if held:
+                state[tool] = held | {"n": 0, "error": ""} if held["n"] else held
+            return state, None
+        if row["failed"] or by_text:
+            held = state[tool] = {"n": out["attempt"] + 1, "error": row["details_error"] or "", "params": out["last_params"]}
+        return state, out | {"attempt": held["n"] if held else 1, "last_error": held["error"] if held else "", "enrich": True}
+
+    return step
+
+
+_REMEDY = [("attempt", pa.int32(), "int"), ("last_error", pa.string(), "string"), ("last_params", pa.string(), "string"), ("blocked", pa.bool_(), "boolean"), ("enrich", pa.bool_(), "boolean")]
+
+
+def remediate(events: DataFrame) -> DataFrame:
+    """Calls that the breaker judged, and failed results with their advice, out of tool events in order.
+
+    events: session_id, ts_ms, seq, kind (after_tool_call, tool_result_persist, before_tool_call, session_end, before_reset),
+    tool_name, params (JSON text), error, message (JSON text), synthetic. Returns session_id, ts_ms, seq, kind, tool_name, attempt,
+    blocked, reason, blocks and enricher; the last two are null for calls. Events without a session are left out. A session
+    holds one counter for each tool that gets advice, so a hot session streams through in constant memory.
+    """
+    df = read_messages(events.where("session_id is not null")).withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
+    known = frozenset(t for ts in KINDS.values() for t in ts)
+    keep = ["session_id", "ts_ms", "seq", "kind", "tool", "blocks", "error_text"]
+    rows = df.select(*keep, "flagged", "failed", "lead", "details_error", "error", "params", "synthetic")
+    made = keyed_fold(rows, ["session_id"], ["ts_ms", "seq"], remediation_step(known), _REMEDY, keep).withColumnRenamed("tool", "tool_name")
+    calls = breaker_reason(made.where("not enrich").withColumn("error_text", F.col("last_error")))
+    given = F.try_parse_json("last_params").try_cast("map<string,variant>")
+    shown = made.where("enrich").withColumns({"params": F.transform_values(given, lambda _, x: F.to_json(x)), "cut": F.contains("error_text", F.lit(CUT_MARK))})
+    told = with_enrichment(advice(shown)).withColumn("reason", F.lit(None).cast("string"))
+    out = ["session_id", "ts_ms", "seq", "kind", "tool_name", "attempt", "blocked", "reason"]
+    return told.select(*out, "blocks", "enricher").unionByName(calls.select(*out), allowMissingColumns=True)

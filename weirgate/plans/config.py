@@ -231,8 +231,8 @@ class GatewayConfig:
     exempt_senders: tuple[str, ...] = ()
     tier2_action: str = "warn"
     redact_outbound: bool = True
-    block_message: str = "Message blocked."
-    terminate_message: str = "Session terminated."
+    block_message: str = "Message blocked by content filter."
+    terminate_message: str = "Session terminated due to repeated violations."
 
 
 def from_options(kind: type, options: dict):

@@ -496,6 +496,18 @@ def tool_circuit_breaker(spark, sf_dir):
     return E.attempts(e).select("seq", F.col("attempt").cast("bigint").alias("attempt"), "blocked")
 
 
+_TOOL_EVENTS = """(VALUES (1, 'tool_result_persist', 'v__memory_search', NULL, '{"isError":true,"content":"boom"}'), (2, 'after_tool_call', 'v__memory_search', 'timeout', NULL), (3, 'tool_result_persist', NULL, NULL, '{"isError":true,"content":[{"name":"memory_search","text":"request timed out"}]}'),
+  (4, 'tool_result_persist', NULL, NULL, '{"toolName":"memory_search","content":"Error: invalid source_type"}'), (5, 'before_tool_call', 'memory_search', NULL, NULL), (6, 'tool_result_persist', 'memory_search', NULL, '{"content":"{}","details":{"status":"error","error":"HTTP 429"}}'),
+  (7, 'before_tool_call', 'memory_search', NULL, NULL), (8, 'tool_result_persist', 'memory_search', NULL, '{"content":"fine"}'), (9, 'before_tool_call', 'memory_search', NULL, NULL), (10, 'before_tool_call', 'other', NULL, NULL)) AS t(seq, kind, tool_name, error, message)"""
+
+
+@query("""SELECT * FROM (VALUES (1::BIGINT, 1, false, 'unknown', 'recoverable', 'global'), (3, 1, false, 'timeout', 'transient', 'global'), (4, 2, false, 'validation', 'recoverable', 'tool'), (5, 2, false, '', '', ''), (6, 3, false, 'rate_limit', 'terminal', 'global'), (7, 3, true, '', '', ''), (9, 0, false, '', '', '')) AS t(seq, attempt, blocked, category, severity, source)""")
+def tool_remediation(spark, sf_dir):
+    rows = spark.sql(f"SELECT 's' AS session_id, seq * 1000L AS ts_ms, CAST(seq AS BIGINT) AS seq, kind, CAST(tool_name AS STRING) AS tool_name, '{{}}' AS params, CAST(error AS STRING) AS error, CAST(message AS STRING) AS message, false AS synthetic FROM {_TOOL_EVENTS}")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return E.remediate(rows).select("seq", "attempt", "blocked", text("enricher.error_category").alias("category"), text("enricher.severity").alias("severity"), text("enricher.template_source").alias("source"))
+
+
 _GATE = "(VALUES (1, 'k', 'web', 'c', 'a', 'u', true, 'none', false), (2, '', 'web', 'c', 'a', 'u', false, 'none', false), (3, NULL, 'web', NULL, 'a', 'u', true, 'tier2', false), (4, 'k', 'web', 'c', 'a', 'u', true, 'none', true), (5, 'k', 'test', 'c', 'a', 'u', false, 'tier3', true), (6, 'k', 'web', 'c', 'a', 'boss', false, 'none', false)) AS t(id, session_key, channel, conversation, account, sender, safe, tier, terminated)"
 
 
