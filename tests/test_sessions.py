@@ -139,6 +139,35 @@ def test_inspection_terminates_and_counts_twice(spark):
     assert sorted((t.session_id, t.tier) for t in done.transitions().collect()) == [("a", "tier1"), ("a", "tier3"), ("b", "tier2")]
 
 
+def test_sides_share_one_score(spark):
+    from dataclasses import replace
+
+    from weirgate.operators.scanner import Detector
+    from weirgate.plans.config import HostConfig, from_options
+    from weirgate.plans.inspect import inspect_sides
+
+    host = from_options(HostConfig, {"redact_outbound": False, "exempt_tools": ["ping"], "frequency": FrequencyConfig(weights=MappingProxyType({f"{NAMESPACE}.x.*": 9.0}), thresholds=(8, 17, 99))})
+    assert host.guard.exempt == ("ping",) and host.gateway.redact_outbound is False and HostConfig(tool_guard_enabled=False).guard is None
+    with pytest.raises(ValueError):
+        HostConfig(audit_sink="odd")
+    pack = (Detector("x", "in", "high", "evil", "inbound"), Detector("x", "out", "high", "leak", "outbound"))
+    into, out = _messages(spark, [(1, 0, "a", "evil leak"), (3, 2, "a", "hi")]), _messages(spark, [(2, 1, "a", "evil leak")])
+    done = inspect_sides({"inbound": (into, host.pipeline("inbound")), "outbound": (out, host.pipeline("outbound"))}, pack)
+    got = {r.seq: r for r in done.results.collect()}
+    assert [(got[i].side, got[i].tier, [f.matched for f in got[i].findings]) for i in (1, 2, 3)] == [("inbound", "tier1", ["evil"]), ("outbound", "tier2", ["leak"]), ("inbound", "none", [])]
+    assert got[1].sanitized.content == "[REDACTED] leak" and got[2].sanitized is None
+    assert sorted((t.side, t.tier) for t in done.transitions().collect()) == [("inbound", "tier1"), ("outbound", "tier2")]
+    with pytest.raises(ValueError):
+        inspect_sides({"a": (into, host.pipeline("inbound")), "b": (out, replace(host.pipeline("outbound"), two_pass=True))})
+
+
+def test_rules_that_are_off(spark):
+    rows = [(i, f"frequency_escalation_tier{2 + i % 2}") for i in range(4)]
+    df = spark.sql("SELECT * FROM (VALUES " + ", ".join(f"({i * 1000}L, {i}L, '{e}')" for i, e in rows) + ") AS t(ts_ms, seq, event)").selectExpr("*", "'s' AS session_id", "CAST(NULL AS STRING) AS message_id", "CAST(NULL AS STRING) AS tool_call_id", "CAST(array() AS ARRAY<STRING>) AS rule_ids", "1D AS score", "false AS trusted", "'' AS server_name", "'' AS tool_name")
+    made = L.candidates(df, AlertConfig(disabled=("frequencyEscalationTier2", "frequencyEscalationTier3")))
+    assert {r.alert_rule for r in made.collect()} == {"frequencyEscalationTier3"}
+
+
 def test_null_session_is_a_session(spark):
     token = 'token = "' + "a" * 40 + '"'
     done = inspect(_messages(spark, [(1, 0, None, token), (2, 1, None, "hi"), (3, 0, "b", "hi")]), PipelineConfig())

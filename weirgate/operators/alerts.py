@@ -57,7 +57,9 @@ def candidates(events: DataFrame, config: AlertConfig = AlertConfig()) -> DataFr
     gap = pair.withColumn("__p", passed).where((F.col("event") == "scan_block") & (F.col("__p") <= 0)).drop("__p")
     out = out.unionByName(gap.select("*", F.lit("scanBlockAfterSyntacticPass").alias("alert_rule"), F.lit("medium").alias("severity"), F.lit("Scanner blocked content that syntactic filter passed cleanly").alias("summary"), null.alias("__score")))
     schema = events.where((F.col("event") == "schema_fail") & F.col("trusted"))
-    return out.unionByName(schema.select("*", F.lit("trustedToolSchemaFail").alias("alert_rule"), F.lit("high").alias("severity"), F.concat(F.lit("Trusted tool "), F.col("server_name"), F.lit(":"), F.col("tool_name"), F.lit(" produced structurally invalid output")).alias("summary"), null.alias("__score")))
+    out = out.unionByName(schema.select("*", F.lit("trustedToolSchemaFail").alias("alert_rule"), F.lit("high").alias("severity"), F.concat(F.lit("Trusted tool "), F.col("server_name"), F.lit(":"), F.col("tool_name"), F.lit(" produced structurally invalid output")).alias("summary"), null.alias("__score")))
+    off = [r for r in config.disabled if r != "frequencyEscalationTier3"]
+    return out.where(~F.col("alert_rule").isin(*off)) if off else out
 
 
 _HOUR = 3_600_000

@@ -72,7 +72,7 @@ def all_events(results: DataFrame) -> DataFrame:
         ),
     ]
     listed = F.concat(*(F.coalesce(p, F.array().cast(_TYPE)) for p in parts))
-    base = [c for c in ("session_id", "ts_ms", "seq", "message_id", "tool_call_id", "server_name", "tool_name") if c in results.columns]
+    base = [c for c in ("session_id", "side", "ts_ms", "seq", "message_id", "tool_call_id", "server_name", "tool_name") if c in results.columns]
     # The outer form keeps the optimiser from computing the whole list once more to see whether it is empty.
     return results.select(*base, F.posexplode_outer(listed).alias("place", "e")).where("place is not null").select(*base, "place", "e.*")
 
@@ -86,7 +86,7 @@ def events(results: DataFrame, config: AuditConfig) -> DataFrame:
 
     made = all_events(results)
     level = F.when(F.col("event") == "frequency_escalation_tier1", 1).when(F.col("event") == "frequency_escalation_tier2", 2).when(F.col("event") == "frequency_escalation_tier3", 3)
-    before = Window.partitionBy("session_id").orderBy("ts_ms", "seq", "place").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(c for c in ("session_id", "side") if c in made.columns)).orderBy("ts_ms", "seq", "place").rowsBetween(Window.unboundedPreceding, -1)
     # A terminated session's messages hold this one event at the first place.
     fresh = level.isNull() | (F.col("place") == 0) | (level > F.coalesce(F.max(level).over(before), F.lit(0)))
     return made.withColumn("__fresh", fresh).where("__fresh").drop("__fresh").where(emitted(F.col("event"), config))

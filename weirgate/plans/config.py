@@ -193,6 +193,8 @@ class AlertConfig:
     per_minute: int = 20
     per_hour: int = 100
     context: int = 20
+    #: Rules that are off, by name; the one on terminated sessions always stays on.
+    disabled: tuple[str, ...] = ()
 
     def __post_init__(self):
         _check(math.isfinite(self.suppression_minutes) and self.suppression_minutes >= 0, "suppression_minutes must be finite and not negative")
@@ -247,3 +249,56 @@ def from_options(kind: type, options: dict):
 #: Settings of the host's plugin, which differ from the library's own.
 HOST_FREQUENCY = FrequencyConfig(weights=MappingProxyType({**DEFAULT_WEIGHTS, f"{NAMESPACE}.prompt_injection.*": 15.0}), thresholds=(15, 40, 80), rolling_window_ms=300_000, ttl_ms=1_800_000)
 HOST_SCANNER = ScannerConfig(threshold="medium")
+
+
+@dataclass(frozen=True)
+class HostConfig:
+    """All settings of a host's plugin in one place, and the parts that follow from them."""
+
+    inbound_profile: str | Profile = "general"
+    outbound_profile: str | Profile = "customer-service"
+    frequency: FrequencyConfig = HOST_FREQUENCY
+    block_threshold: str = "medium"
+    direction: str = "both"
+    tier2_action: str = "warn"
+    block_message: str = GatewayConfig.block_message
+    terminate_message: str = GatewayConfig.terminate_message
+    redact_outbound: bool = True
+    hash_redactions: bool = True
+    #: Without a key nothing is hashed.
+    hmac_key: str | None = None
+    audit_sink: str = "log"
+    audit_verbosity: str = "standard"
+    #: Kept for the host; nothing here reads it.
+    alert_channel: str | None = None
+    exempt_channels: tuple[str, ...] = ()
+    exempt_senders: tuple[str, ...] = ()
+    tool_guard_enabled: bool = True
+    exempt_tools: tuple[str, ...] = ()
+    restricted_tools: tuple[str, ...] = ("read",)
+    escalate_warnings: bool = True
+    scan_params: bool = True
+
+    def __post_init__(self):
+        _check(self.block_threshold in SEVERITIES, "unknown block_threshold")
+        _check(self.direction in ("inbound", "outbound", "both"), "unknown direction")
+        _check(self.tier2_action in ("warn", "block"), "unknown tier2_action")
+        _check(self.audit_sink in ("log", "ingest", "both"), "unknown audit_sink")
+        _check(self.audit_verbosity in VERBOSITIES, "unknown audit_verbosity")
+        _check(bool(self.block_message) and bool(self.terminate_message), "messages must not be empty")
+
+    def pipeline(self, side: str) -> PipelineConfig:
+        """Settings of the inbound or outbound side. Sides share one tracker, so profiles change rules, not scores."""
+        _check(side in ("inbound", "outbound"), "side must be inbound or outbound")
+        profile = self.inbound_profile if side == "inbound" else self.outbound_profile
+        profile = resolve_profile(profile) if isinstance(profile, str) else profile
+        clean = SanitizeConfig(enabled=side == "inbound" or self.redact_outbound, hash_redactions=self.hash_redactions, hmac_key=self.hmac_key)
+        return PipelineConfig(prefilter=profile.prefilter(PrefilterConfig()), scanner=ScannerConfig(threshold=self.block_threshold, direction=side), sanitize=clean, frequency=self.frequency, audit=AuditConfig(verbosity=self.audit_verbosity, alerting=True))
+
+    @property
+    def guard(self) -> GuardConfig | None:
+        return GuardConfig(self.exempt_tools, self.restricted_tools, self.escalate_warnings, self.scan_params) if self.tool_guard_enabled else None
+
+    @property
+    def gateway(self) -> GatewayConfig:
+        return GatewayConfig(self.exempt_channels, self.exempt_senders, self.tier2_action, self.redact_outbound, self.block_message, self.terminate_message)

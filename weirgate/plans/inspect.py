@@ -6,7 +6,7 @@ beside the decisions, and both meet the content again in one join by session and
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +20,7 @@ from ..operators.prefilter import prefilter
 from ..operators.redact import redact
 from ..operators.scanner import PACK, detect
 from ..operators.schema import validate
+from ..sources.messages import union_events
 from .config import PipelineConfig
 
 _FREQ = [(f"{k}{n}", t, s) for n in (1, 2) for k, t, s in (("previous", pa.float64(), "double"), ("score", pa.float64(), "double"), ("tier", pa.string(), "string"))]
@@ -70,15 +71,21 @@ class Inspected:
     def updates(self) -> DataFrame:
         """Score updates in order: session_id, ts_ms, seq, step, previous, score, tier."""
         steps = F.array(*(F.struct(F.lit(n).alias("step"), F.col(f"previous{n}").alias("previous"), F.col(f"score{n}").alias("score"), F.col(f"tier{n}").alias("tier")) for n in (1, 2)))
-        return self.results.select("session_id", "ts_ms", "seq", F.explode(steps).alias("u")).where("u.tier is not null").select("session_id", "ts_ms", "seq", "u.*")
+        place = ["session_id", "ts_ms", "seq", *side_of(self.results)]
+        return self.results.select(*place, F.explode(steps).alias("u")).where("u.tier is not null").select(*place, "u.*")
 
     def transitions(self) -> DataFrame:
         """Updates whose tier is above every earlier one of their session."""
         return transitions(self.updates())
 
 
+def side_of(rows: DataFrame) -> list[str]:
+    return [n for n in ("side",) if n in rows.columns]
+
+
 def transitions(updates: DataFrame) -> DataFrame:
-    before = Window.partitionBy("session_id").orderBy("ts_ms", "seq", "step").rowsBetween(Window.unboundedPreceding, -1)
+    """Each side remembers the tiers that it has told of by itself."""
+    before = Window.partitionBy("session_id", *side_of(updates)).orderBy("ts_ms", "seq", "step").rowsBetween(Window.unboundedPreceding, -1)
     return updates.withColumn("rank", Q.rank(F.col("tier"))).withColumn("__most", F.coalesce(F.max("rank").over(before), F.lit(0))).where("rank > __most").drop("__most")
 
 
@@ -95,24 +102,38 @@ def stages(messages: DataFrame, config: PipelineConfig, pack=PACK) -> DataFrame:
     return df.withColumn("trusted", F.coalesce(trusted, F.lit(False)))
 
 
-def inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(), pack=PACK, rejected=None) -> Inspected:
-    """messages: session_id, ts, seq, content, source, server_name, tool_name, message_id, tool_call_id. (session_id, seq) is unique.
+_FOUND = ["ts_ms", "trusted", "rejected", "pre", "schema", "findings"]
 
-    Results keep every message: verdict, tier, and the stages that its path exposes, null elsewhere.
-    """
+
+def _narrow(messages: DataFrame, config: PipelineConfig, pack, rejected) -> DataFrame:
+    """What the stages find, with the weights that the fold adds up."""
     df = stages(messages, config, pack).withColumn("ts_ms", millis("ts")).withColumn("rejected", F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False)))
     ids = F.transform("findings", lambda f: f.rule_id)
-    found = ["ts_ms", "trusted", "rejected", "pre", "schema", "findings"]
-    narrow = df.select(
-        "session_id", "seq", *found, F.col("pre.pass").alias("pre_pass"), F.size("pre.rule_ids").alias("n_pre"), Q.total_weight(F.col("pre.rule_ids"), config.frequency).alias("w_pre"),
+    return df.select(
+        "session_id", "seq", *_FOUND, F.col("pre.pass").alias("pre_pass"), F.size("pre.rule_ids").alias("n_pre"), Q.total_weight(F.col("pre.rule_ids"), config.frequency).alias("w_pre"),
         F.arrays_overlap("pre.rule_ids", F.array(*map(F.lit, config.hard_block))).alias("hard"), F.size("findings").alias("n_scan"), Q.total_weight(ids, config.frequency).alias("w_scan"),
     )
-    decided = keyed_fold(narrow, ["session_id"], ["ts_ms", "seq"], inspect_step(config), _OUT, ["session_id", "seq", *found])
+
+
+def inspect_sides(sides: dict[str, tuple[DataFrame, PipelineConfig]], pack=PACK, rejected=None) -> Inspected:
+    """Several kinds of messages, as inbound and outbound ones, each by its own settings but with one score for a session.
+
+    Results have a further column, side. What the fold needs must be the same on all sides: scores, the two passes, and how
+    texts are redacted. (side, session_id, seq) is unique.
+    """
+    configs = [c for _, c in sides.values()]
+    first = configs[0]
+    alike = lambda c: (c.frequency, c.two_pass, c.scanner.enabled, replace(c.sanitize, enabled=True))
+    if any(alike(c) != alike(first) for c in configs):
+        raise ValueError("the sides share one tracker: their scores, passes and redaction must be alike")
+    own = union_events(*(_with_text(m).drop(*_FOUND, *(n for n, _, _ in _OUT), "sanitized").withColumn("side", F.lit(name)) for name, (m, _) in sides.items()))
+    narrow = union_events(*(_narrow(m, c, pack, rejected).withColumn("side", F.lit(name)) for name, (m, c) in sides.items()))
+    decided = keyed_fold(narrow, ["session_id"], ["ts_ms", "seq", "side"], inspect_step(first), _OUT, ["session_id", "seq", "side", *_FOUND])
     # What the stages found comes back with the decisions, so that no text is searched twice.
-    decided = decided.withColumnsRenamed({"session_id": "__s", "seq": "__q"})
-    own = _with_text(messages).drop(*found, *(n for n, _, _ in _OUT), "sanitized")
-    joined = own.join(decided, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("seq") == F.col("__q"))).drop("__s", "__q")
-    joined = redact(joined, config.sanitize)
+    decided = decided.withColumnsRenamed({"session_id": "__s", "seq": "__q", "side": "__side"})
+    joined = own.join(decided, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("seq") == F.col("__q")) & (F.col("side") == F.col("__side"))).drop("__s", "__q", "__side")
+    joined = redact(joined, first.sanitize)
+    enabled = [name for name, (_, c) in sides.items() if c.sanitize.enabled]
     early = F.col("path").isin("trusted", "terminated")
     scan_safe = ~F.exists("findings", lambda f: f.blocked)
     safe = F.when(F.col("path") == "trusted", True).when(F.col("path").isin("terminated", "stopped"), False).otherwise(F.col("pre.pass") & (~F.col("scanned") | scan_safe))
@@ -120,6 +141,14 @@ def inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(), pack
         "pre": F.when(~early, F.col("pre")),
         "schema": F.when(F.col("path").isin("trusted", "full"), F.col("schema")),
         "findings": F.when(F.col("scanned"), F.col("findings")),
-        "sanitized": F.when(F.col("scanned") & (F.size("findings") > 0) & F.lit(config.sanitize.enabled), F.col("sanitized")),
+        "sanitized": F.when(F.col("scanned") & (F.size("findings") > 0) & F.col("side").isin(*enabled), F.col("sanitized")),
     })
-    return Inspected(results, config)
+    return Inspected(results, first)
+
+
+def inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(), pack=PACK, rejected=None) -> Inspected:
+    """messages: session_id, ts, seq, content, source, server_name, tool_name, message_id, tool_call_id. (session_id, seq) is unique.
+
+    Results keep every message: verdict, tier, and the stages that its path exposes, null elsewhere.
+    """
+    return Inspected(inspect_sides({"": (messages, config)}, pack, rejected).results.drop("side"), config)
