@@ -426,6 +426,17 @@ def test_no_letter_is_und():
     assert guess[4][0] in ("de", "en")
 
 
+def test_unlearned_language_and_junk_are_rejected():
+    table = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").dropna(subset=["text", "lang"]).head(3000)
+    learnt = table[(table.lang != "fr") & (table.text.str.len() < 5000)]
+    guess = language.Predictor(language.train(list(learnt.text[:1200]), list(learnt.lang[:1200])))
+    share = lambda texts: np.mean([g[2] for g in guess(list(texts))])
+    rng = random.Random(4)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150)) for _ in range(100)]
+    assert share(table.text[table.lang == "fr"]) > 0.7 and share(junk) > 0.9
+    assert share(learnt.text[1200:]) < 0.01
+
+
 def test_language_sums_do_not_depend_on_parts():
     model = language.train(["the cat and the dog"] * 10 + ["le chat et le chien"] * 10, ["en"] * 10 + ["fr"] * 10)
     texts = ["the dog " * 300, "le chat", None, "12 34", "", "chien, chat; the é"]

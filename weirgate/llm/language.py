@@ -6,10 +6,11 @@ gradient descent on a bounded sample of labelled rows. As the mean and the layer
 vector of logits: texts are read whole, hashed as arrays of code points and summed up, part by part.
 
 A second part of the sample calibrates: a temperature minimises the log loss of pieces of its texts, and a text is rejected if its score
-is below a floor that keeps `keep_share` of the calibration texts; texts without any letter are rejected as well.
+is below the floor of its length, which keeps `keep_share` of the calibration texts' pieces of that length; texts without any letter are
+rejected as well. Lengths are counted in subwords and by powers of two, as short texts are surer of nothing.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0 and rejected. With no labelled row to learn
-from, every text is `und`. Ties go to the first language by name. Rows with null ids are predicted but never learnt from.
+from, every text is `und`. With one language its score is always 1, and only texts without a letter are rejected. Ties go to the first language by name. Rows with null ids are predicted but never learnt from.
 Repeated rows give repeated results. Other columns are ignored, whatever their names; only the text enters a prediction.
 """
 
@@ -32,10 +33,12 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 BUCKETS, DIMS, EPOCHS, RATE = 1 << 15, 16, 8, 0.5
 #: Words of the pieces of held-out texts that the temperature is fitted on.
 CALIBRATION_WORDS = (1, 2, 4, 8, 16)
-#: Share of calibration texts that stay.
+#: Share of calibration pieces of each length that stay.
 KEEP_SHARE = 0.9995
-#: The floor is never above so many times the score of pure chance, so that short clean texts stay.
-MOST_FLOOR = 1.1
+#: Words of the pieces that the floors are calibrated on, beside whole texts, and pieces of each size from one text.
+FLOOR_WORDS, FLOOR_PIECES = (1, 2, 4, 8, 16, 32, 64, 128), 6
+#: Pieces that a length must have for a floor of its own; one with fewer is pooled with the lengths below, then above.
+FLOOR_LEAST = 200
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -77,7 +80,7 @@ class Model:
     scores: np.ndarray  # logits of each bucket, buckets x languages
     bias: np.ndarray
     temperature: float
-    floor: float
+    floors: np.ndarray  # by the power of two of a text's subwords; longer texts have the last
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, dims=DIMS, epochs=EPOCHS, rate=RATE, keep_share=KEEP_SHARE) -> Model:
@@ -85,7 +88,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, d
     pairs = [(t, y) for t, y in zip(texts, labels) if any(map(str.isalpha, t))]
     languages = tuple(sorted({y for _, y in pairs}))
     if not languages:
-        return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, np.zeros(1))
     rng = np.random.default_rng(seed)
     rows, y = [np.unique(subwords(t, buckets), return_counts=True) for t, _ in pairs], np.array([languages.index(y) for _, y in pairs])
     held = np.arange(len(rows)) % 5 == 4
@@ -120,9 +123,30 @@ def train(texts: list[str], labels: list[str], seed: int = 7, buckets=BUCKETS, d
     pieces = [(" ".join(found[at : at + n]), y[i]) for i in tune for found in [_WORD.findall(pairs[i][0])] for n in CALIBRATION_WORDS for at in [len(found) // 3] if found[at : at + n]]
     z, truth = logits([t for t, _ in pieces]), np.array([k for _, k in pieces])
     temperature = min((0.01 * 1.25**k for k in range(34)), key=lambda t: -np.log(probability(z, t)[np.arange(len(z)), truth] + 1e-12).mean())
-    whole = probability(logits([pairs[i][0] for i in tune]), temperature)
-    floor = min(MOST_FLOOR / len(languages), float(np.quantile(whole.max(1), 1 - keep_share)))
-    return Model(languages, scores, bias, float(temperature), floor)
+    sizes, tops = [], []
+    for i in tune:
+        found = _WORD.findall(pairs[i][0])
+        cut = [" ".join(found[at : at + n]) for n in FLOOR_WORDS if n < len(found) for at in sorted({(len(found) - n) * k // (FLOOR_PIECES - 1) for k in range(FLOOR_PIECES)})]
+        ids = [subwords(t, buckets) for t in [pairs[i][0], *cut]]
+        sizes += map(len, ids)
+        tops.append(probability(np.array([scores[x].mean(0) for x in ids]) + bias, temperature).max(1))
+    return Model(languages, scores, bias, float(temperature), _floors(np.array(sizes), np.concatenate(tops), keep_share))
+
+
+def _floors(sizes: np.ndarray, tops: np.ndarray, keep_share: float) -> np.ndarray:
+    """For each power of two the score that keeps that share of the pieces of so many subwords."""
+    power = _power(sizes)
+    floors = np.zeros(int(power.max()) + 1)
+    for k in range(len(floors)):
+        low = high = k
+        while ((power >= low) & (power <= high)).sum() < min(FLOOR_LEAST, len(power)):
+            low, high = (low - 1, high) if low else (0, high + 1)
+        floors[k] = np.quantile(tops[(power >= low) & (power <= high)], 1 - keep_share)
+    return floors
+
+
+def _power(sizes: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(sizes, 1)).astype(int)
 
 
 def sample(df: DataFrame, id_col="doc_id", text_col="text", label_col="lang", rows=SAMPLE_ROWS, chars=SAMPLE_CHARS) -> tuple[list[str], list[str]]:
@@ -190,7 +214,8 @@ class Predictor:
         if not m.languages:
             return [("und", 0.0, True)] * len(texts)
         found = []
-        for total in self._sums(texts):
+        sums = self._sums(texts)
+        for total, floor in zip(sums, m.floors[np.minimum(_power(sums[:, -1]), len(m.floors) - 1)]):
             if not total[-1]:
                 found.append(("und", 0.0, True))
                 continue
@@ -198,7 +223,7 @@ class Predictor:
             p = np.exp(z - z.max())
             p /= p.sum()
             best = int(p.argmax())
-            found.append((m.languages[best], float(p[best]), bool(p[best] < m.floor)))
+            found.append((m.languages[best], float(p[best]), bool(p[best] < floor)))
         return found
 
 
