@@ -103,6 +103,13 @@ def test_method_adds_secrets(spark):
     assert clean[1] == 'set token = "[SECRET]" here' and clean[2].startswith("commit 9b") and clean[5] is None
 
 
+def test_written_out_addresses_of_any_case(spark):
+    texts = ["JOHN [AT] SITE [DOT] COM", "john (at) site (Dot) com", "write to Mary.Smith [At] example [DoT] org today", "john [at] site [dot] com"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {0: "[EMAIL_WORDS]", 1: "[EMAIL_WORDS]", 2: "write to [EMAIL_WORDS] today", 3: "[EMAIL_WORDS]"}
+
+
 def test_trees_as_column_and_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))

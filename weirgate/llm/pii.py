@@ -43,7 +43,7 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
     "email_words": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}+\x20?[\[(]?\x20?at\x20?[\])]?\x20?[a-z0-9-]{1,63}+\x20?[\[(]\x20?dot\x20?[\])]\x20?[a-z]{2,10}+",
 }
-#: What a text must contain for a pattern to be tried: cheap, and true of every text with a match.
+#: What a text, in lower case, must contain for a pattern to be tried: cheap, and true of every text with a match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-", "email_words": "dot"}
 PRECISION = 0.95
 _BLOCK = 128
@@ -80,7 +80,8 @@ def _candidates(df: DataFrame) -> DataFrame:
     for number, kind in enumerate(KINDS):
         text, pattern = F.col("__text"), PATTERNS[kind]
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        df = df.withColumn("__m", F.when(F.contains(text, F.lit(NEEDS[kind])), found) if kind in NEEDS else found)
+        low = F.lower(text) if pattern.startswith("(?i)") else text
+        df = df.withColumn("__m", F.when(F.contains(low, F.lit(NEEDS[kind])), found) if kind in NEEDS else found)
         df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, pattern, -1)))
         gaps = F.transform("__g", lambda x: F.length(x).cast("bigint"))
         steps = F.zip_with(F.slice(gaps, 1, F.size("__m")), F.transform("__m", lambda x: F.length(x).cast("bigint")), lambda a, b: a + b)
