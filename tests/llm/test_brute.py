@@ -110,6 +110,17 @@ def test_written_out_addresses_of_any_case(spark):
     assert got == {0: "[EMAIL_WORDS]", 1: "[EMAIL_WORDS]", 2: "write to [EMAIL_WORDS] today", 3: "[EMAIL_WORDS]"}
 
 
+def test_touching_candidates_are_kept(spark):
+    texts = ["transfer to GB29 NWBK 4539 1488 0343 6467 now", "iban GB29 NWBK 4539 1488 0343 6467 please"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.listed("spans").alias("s")).collect()} == {0: "card:22:41", 1: "card:15:34"}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {0: "transfer to [IBAN] now", 1: "iban [IBAN] please"}
+    # A beats B and B beats C, A and C lie apart; D overlaps a base span.
+    row = ([((0, 10, 4), 3.0), ((8, 20, 5), 2.0), ((18, 30, 6), 1.0), ((38, 44, 7), 4.0)], [(40, 2, 50)])
+    df = spark.createDataFrame([row], "y array<struct<c:struct<start:bigint,end:bigint,kind:int>,score:double>>, base array<struct<start:bigint,kind:int,end:bigint>>")
+    assert [tuple(s) for s in df.select(pii._added(df.y, df.base).alias("s")).first().s] == [(0, 4, 10), (18, 6, 30)]
+
+
 def test_trees_as_column_and_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))

@@ -7,8 +7,8 @@ r"""Personal data by candidate gradient boosting, in DataFrame operations only.
 3. Every other candidate gets features of format and context and a probability from boosted trees, which are trained on
    labelled sentences that a generator writes; features are made by the same expressions in training and in use. A kind's
    threshold is the lowest one that reaches `PRECISION` on the calibration part.
-4. Candidates over their threshold that overlap no base span and no better candidate are added. `redact` replaces the union
-   of all spans by their kinds' marks.
+4. Candidates over their threshold are added by decreasing score, each unless it overlaps a base span or one added before.
+   `redact` replaces the union of the base spans and of all candidates over their threshold by their kinds' marks.
 
 Defined results: null is the empty text: no spans. Repeated rows give repeated results; other columns are ignored, whatever
 their names. Places are code points, from 0, end exclusive. Texts are read whole, whatever their length.
@@ -222,25 +222,36 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a.start < b.end) & (b.start < a.end)
 
 
+_SPAN = "struct<start:bigint,kind:int,end:bigint>"
+
+
+def _span(c: Column) -> Column:
+    return F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end"))
+
+
+def _added(scored: Column, base: Column) -> Column:
+    """Spans of the candidates (c, score), by decreasing score, then start and kind, that overlap neither a base span nor one added before."""
+    free = F.filter(scored, lambda x: ~F.exists(base, lambda b: _overlaps(b, x.c)))
+    ranked = F.transform(F.array_sort(F.transform(free, lambda x: F.struct((-x.score).alias("worse"), _span(x.c).alias("s")))), lambda x: x.s)
+    return F.aggregate(ranked, F.array().cast(f"array<{_SPAN}>"), lambda acc, s: F.when(F.exists(acc, lambda o: _overlaps(o, s)), acc).otherwise(F.array_append(acc, s)))
+
+
 def find(df: DataFrame, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
-    """doc_id, the columns in keep, base and spans: arrays of (start, kind, end), by start and then kind."""
+    """doc_id, the columns in keep, base, spans and every (also candidates over their threshold that overlap others): arrays of (start, kind, end), by start and then kind."""
     trees, thresholds = model(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), *keep, F.coalesce(text_of(df, text_col), F.lit("")).alias("__text"))
     rows = _candidates(rows)
-    span = lambda c: F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end"))
     checked = lambda k: F.filter(f"c_{k}", lambda c: _valid(k, c))
-    base = [F.transform(checked(k), lambda c: span(c)) for k in BASE]
+    base = [F.transform(checked(k), _span) for k in BASE]
     rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
     # The trees run where there is a candidate; most texts have none.
-    extra = F.concat(*(f"c_{k}" for k in EXTRA))
-    rows = rows.withColumn("__x", F.filter(extra, lambda c: ~F.exists(F.col("base"), lambda b: _overlaps(b, c))))
+    rows = rows.withColumn("__x", F.concat(*(f"c_{k}" for k in EXTRA)))
     limit = lambda kind: F.coalesce(*(F.when(kind == k, F.lit(t)) for k, t in thresholds.items()))
     scored = F.transform(F.transform("__x", lambda c: F.struct(c.alias("c"), F.array(*_features(c)).alias("f"))), lambda x: F.struct(x.c.alias("c"), trees.column([x.f[i] for i in range(len(FEATURES))]).alias("score")))
     rows = rows.withColumn("__y", F.when(F.size("__x") > 0, scored))
     rows = rows.withColumn("__y", F.filter("__y", lambda x: x.score >= limit(x.c.kind)))
-    better = lambda a, b: (a.score > b.score) | ((a.score == b.score) & ((a.c.start < b.c.start) | ((a.c.start == b.c.start) & (a.c.kind < b.c.kind))))
-    added = F.transform(F.filter("__y", lambda x: ~F.exists(F.col("__y"), lambda o: _overlaps(o.c, x.c) & better(o, x))), lambda x: span(x.c))
-    rows = rows.withColumn("spans", F.when(F.size("__y") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")))
+    rows = rows.withColumn("every", F.when(F.size("__y") > 0, F.array_sort(F.concat("base", F.transform("__y", lambda x: _span(x.c))))).otherwise(F.col("base")))
+    rows = rows.withColumn("spans", F.when(F.size("__y") > 0, F.array_sort(F.concat("base", _added(F.col("__y"), F.col("base"))))).otherwise(F.col("base")))
     return rows.drop("__text", "__x", "__y", *(f"c_{k}" for k in KINDS))
 
 
@@ -259,7 +270,7 @@ def redact(df: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     step = lambda acc, s: F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start < acc.at, acc.out).otherwise(F.concat(acc.out, F.array(F.substring(F.col("__t"), acc.at.cast("int") + 1, (s.start - acc.at).cast("int")), marks[s.kind]))).alias("out"))
     ends = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(F.col("__t"), acc.at.cast("int") + 1, F.length("__t")))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, ends)).otherwise(F.col("__t"))
+    text = F.when(F.size("every") > 0, F.aggregate("every", start, step, ends)).otherwise(F.col("__t"))
     return found.select(*(text.alias(n) if n == text_col else F.col("__row").getField(n).alias(n) for n in names))
 
 
