@@ -299,6 +299,13 @@ def test_page_edges():
     assert f(cut) == "A line of text that is long enough to be read.\nThen it is cut off here &am"
 
 
+def test_unclosed_heads():
+    f = lambda h: html_text.extract([h], html_text.model())[0]
+    body = "<article><p>One two three is a line of text.</p><p>Four five six, and so on.</p></article>"
+    for head in ("<head><title>x</title><body>", "<head><title>x</title>", "<head><meta charset=u><script>a='<p>'</script><noscript><p>no</p></noscript><title>x</title>", "<head><svg><title>q</title></svg>", "<head><head><title>x</title><body>", "<head><title>x</title></head><body>"):
+        assert f("<html>" + head + body) == "One two three is a line of text.\nFour five six, and so on.", head
+
+
 # ---- media
 
 

@@ -31,6 +31,8 @@ from .common import map_column
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea".split())
+#: What may stand in a head; any other start tag, or text, ends it.
+IN_HEAD = frozenset("head html title meta link base basefont bgsound script style noscript noframes template".split())
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "legend", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: What a start tag closes, and what stops the search for it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -57,7 +59,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, int]] = []  # tag, its node
-        self.block = self.skip = self.anchors = 0
+        self.block = self.skip = self.anchors = self.heads = 0
         self.bare = -1  # node of the present run of bare text
 
     @property
@@ -77,6 +79,7 @@ class _Builder(HTMLParser):
         for tag, _ in self.open[k:]:
             if tag in SKIPPED:
                 self.skip -= 1
+                self.heads -= tag == "head"
             elif tag == "a":
                 self.anchors -= 1
             if tag in BLOCKS:
@@ -95,11 +98,16 @@ class _Builder(HTMLParser):
                 self._close(k)
                 return
 
+    def _end_head(self) -> None:
+        """Ends a head without an end tag, if nothing else is skipped inside it."""
+        if self.heads and self.skip == self.heads:
+            self._close(next(k for k, (t, _) in enumerate(self.open) if t == "head"))
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if self.skip and tag not in SKIPPED:
             return
-        if tag == "body" and self.skip:  # an unclosed head
-            self._close(0)
         if tag in CLOSES_P:
             self._close_to({"p"}, {"article", "aside", "blockquote", "body", "div", "li", "section", "td", "th", "main", "button"})
         if tag in CLOSES:
@@ -119,6 +127,7 @@ class _Builder(HTMLParser):
             self.block += 1
         if tag in SKIPPED:
             self.skip += 1
+            self.heads += tag == "head"
         elif tag == "a":
             self.anchors += 1
         self.open.append((tag, node))
@@ -139,6 +148,8 @@ class _Builder(HTMLParser):
             self.block += 1
 
     def handle_data(self, data: str) -> None:
+        if self.skip and data.strip():
+            self._end_head()
         if not self.skip:
             self._put(data)
 
