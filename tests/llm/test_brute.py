@@ -65,6 +65,17 @@ def test_template_with_gap_and_typo():
     assert license_scan.scan(" ".join(whole[:8]), auto, ids)["spans"] == [s for s in license_scan.scan(" ".join(whole[:8]), auto, ids)["spans"] if s[3] >= license_scan.MIN_COVER]
 
 
+def test_an_earlier_span_stays_before_a_longer_one():
+    auto = license_scan.automaton()
+    ids = license_scan._Vocabulary(auto.vocabulary)
+    whole = next(t for label, t in license_scan.TEMPLATES if label == "unlicense").split()
+    part = whole[:-2]
+    text = " ".join([*part, *["oddword"] * 100, *whole, *["oddword"] * 100, *part])
+    got = [(s[1], s[2]) for s in license_scan.scan(text, auto, ids)["spans"] if s[0] == "unlicense"]
+    n, m = len(part), len(whole)
+    assert n / m >= license_scan.MIN_COVER and got == [(0, n), (n + 100, n + 100 + m), (n + m + 200, 2 * n + m + 200)]
+
+
 # ---- personal data
 
 RAW = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

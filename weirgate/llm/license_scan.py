@@ -154,11 +154,12 @@ def automaton(templates=TEMPLATES, phrases=PHRASES) -> SuffixAutomaton:
     return SuffixAutomaton(templates, phrases)
 
 
-def chain(matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, int]]:
-    """Chains of one template's matches (document start, template start, words): (covered words, first, end) each.
+def chain(matches: list[tuple[int, int, int]], max_gap: int, size: int = 1, min_cover: float = 0.0) -> list[tuple[int, int, int]]:
+    """Chains of one template's matches (document start, template start, words) that cover that share of its `size` words: (covered words, first, end) each.
 
     Both sides must move forward; overlapping parts count once. Matches come in document order.
     """
+    done: list[list[int]] = []  # chains out of reach of further matches
     chains: list[list[int]] = []  # covered, first, document end, template end
     for at, start, n in matches:
         best = None
@@ -170,8 +171,9 @@ def chain(matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int,
             x, overlap = best
             x[0], x[2], x[3] = x[0] + n - overlap, at + n, start + n
         else:
-            chains = [x for x in chains if at - x[2] <= max_gap or x[0] >= n] + [[n, at, at + n, start + n]]
-    return [(x[0], x[1], x[2]) for x in chains]
+            done += [x for x in chains if at - x[2] > max_gap and x[0] / size >= min_cover]
+            chains = [x for x in chains if at - x[2] <= max_gap] + [[n, at, at + n, start + n]]
+    return [(x[0], x[1], x[2]) for x in done + chains if x[0] / size >= min_cover]
 
 
 def scan(text: str | None, auto: SuffixAutomaton, ids_of: dict, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP) -> dict:
@@ -199,9 +201,8 @@ def scan(text: str | None, auto: SuffixAutomaton, ids_of: dict, min_match=MIN_MA
     spans = []
     for t, found in by_template.items():
         label, template = auto.templates[t]
-        for covered, first, end in chain(found, max_gap):
-            if (share := min(1.0, covered / len(template))) >= min_cover:
-                spans.append((label, first, end, round(share, 6)))
+        for covered, first, end in chain(found, max_gap, len(template), min_cover):
+            spans.append((label, first, end, round(min(1.0, covered / len(template)), 6)))
     return {"n_words": len(words), "base": sorted(base), "spans": sorted(spans)}
 
 
