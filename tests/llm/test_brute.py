@@ -400,6 +400,11 @@ def test_tokens_as_the_libraries(spark, small, table, libraries):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n := len(tok.encode(t, add_special_tokens=False).ids), n > 512)
 
 
+def test_high_ranks_in_long_pieces():
+    high = 1 << 31
+    assert bpe_codec.merge_piece(b"ab" * 20_000, {b"a": 0, b"b": 1, b"ab": high}) == [high] * 20_000
+
+
 def test_encode_then_decode(spark):
     df = spark.createDataFrame(list(enumerate(TRICKY)) + [(99, None)], "doc_id bigint, text string")
     path = bpe_codec.default_path()

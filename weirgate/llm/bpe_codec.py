@@ -33,7 +33,7 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     bits = n.bit_length()
-    none = 1 << 62 - bits  # above every rank; a leaf is rank and place in one small number
+    none = 1 << 32 + bits  # above every rank, which has 32 bits, at any length; a leaf is rank and place in one small number
     size = 1 << (n - 2).bit_length() if n > 1 else 1
     end = list(range(1, n + 1))  # end of the symbol that starts at i
     before = list(range(-1, n - 1))
