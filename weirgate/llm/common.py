@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,8 +18,19 @@ SLICE_ROWS = 256
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: A table of at most so many bytes in fewer files than the cluster has cores is dealt out to all of them.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows on all cores, where a few small files would keep most of them idle; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def importable(spark: SparkSession) -> None:
@@ -64,10 +76,14 @@ def text_of(df: DataFrame, name: str):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one serves."""
+    """The cluster names the shared folder in spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary
+    folder; any other is refused, as its executors would each write to a disk of their own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -76,6 +92,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes what is under a path of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder: later readers neither recompute them nor need the executors that made them."""
     ensure_checkpoint_dir(df.sparkSession)
