@@ -10,9 +10,13 @@ paired, the longest first: expected words move at random from one to the other,
 the same way in blocks of blocks, up a reduction tree, until a source has one, which is rounded by its own chance. As each
 step keeps the sum of expected words, only that last document, mostly a short one, parts the words taken from the target.
 
-Defined results: null texts have size 0; texts of size 0 move no words and are rounded by their own chance. A source without words has target 0 and takes none. Rows that agree in id, source
-and size are one unit of several copies, shared out as evenly as can be; so a repeated row is no hot key. Randomness is a hash
-of seed, source, id and size: reruns agree, whatever the partitioning. Null ids are ids like any other. An empty table gives
+Sources may be as many as hosts: they are ranked in ranges side by side, and the level is found by sums over them, of which only
+two numbers reach the driver in each round.
+
+Defined results: null texts have size 0; texts of size 0 move no words and are rounded by their own chance. A source without
+words has target 0 and takes none. Rows that agree in id, source and text are one unit of several copies, shared out as evenly as
+can be; so a repeated row is no hot key: equal rows are counted before they move, and given out in parts. Randomness is a hash of
+seed, source, id and text: reruns agree, whatever the partitioning. Null ids are ids like any other. An empty table gives
 none. Other columns are ignored, whatever their names.
 """
 
@@ -24,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, documents, saved
 
 MOST, BLOCK, SEED = 3, 1024, 17
+#: Rows that one row is exploded into at once.
+PART = 1 << 12
+#: Parts of the rows that agree in id, source and text, for their running counts.
+PARTS = 256
 WEIGHTS = 3
 _TINY = 1e-9
 
@@ -36,40 +44,57 @@ def words_in(text):
 
 
 def sizes(df: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """doc_id, source and words of each row: the text is read once, only for this."""
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
+    """doc_id, source, words and hash of the text of each row: the text is read once, only for this."""
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds `rank` from 0, by source, null last. Ranges of sources are sorted side by side; each begins after the rows of those before."""
+    row = F.monotonically_increasing_id()
+    dealt = saved(sources.orderBy(F.col("source").asc_nulls_last()).withColumns({"range": F.shiftright(row, 33), "place": row.bitwiseAND((1 << 33) - 1)}))
+    # One row for each range, so as many as there are partitions.
+    ranges = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    first = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("first"))
+    return dealt.join(F.broadcast(first), "range").withColumn("rank", F.col("first") + F.col("place")).drop("range", "place", "first")
+
+
+def level_of(weighted: DataFrame, most: int) -> float:
+    """The common level: the sum of min(cap, level * weight) is the sum of all sizes. Each round caps the sources that the last one's level exceeds."""
+    total, weights = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not total:
+        return 0.0
+    cap, n, level = most * F.col("source_size"), 0, total / weights
+    while True:
+        k, caps, w = weighted.where(cap < F.lit(level) * F.col("weight")).agg(F.count("*"), F.sum(cap), F.sum("weight")).first()
+        if k == n:
+            return level
+        if w == weights:
+            return float("inf")
+        n, level = k, (total - caps) / (weights - w)
 
 
 def targets(units: DataFrame, most: int = MOST) -> DataFrame:
-    """source, source_size, target: one row for each source."""
-    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n_units"))
-    everything = Window.partitionBy()
-    ranked = sources.withColumn("weight", (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1) % WEIGHTS + 1)
-    cap = most * F.col("source_size")
-    by_need = everything.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_need.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(onward)
-    capped = ranked.withColumn("capped", cap / F.col("weight") < level)
-    rest = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("capped"), cap)).over(everything), F.lit(0))
-    share = rest / F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    return capped.withColumn("target", F.when(F.col("capped"), cap.cast("double")).otherwise(F.least(share * F.col("weight"), cap.cast("double")))).select("source", "source_size", "n_units", F.col("target").cast("double"))
+    """source, source_size, n_units, target: one row for each source."""
+    sources = saved(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n_units")))
+    weighted = saved(ranked(sources).withColumn("weight", F.col("rank") % WEIGHTS + 1))
+    cap = (most * F.col("source_size")).cast("double")
+    return weighted.select("source", "source_size", "n_units", F.least(cap, F.lit(level_of(weighted, most)) * F.col("weight")).alias("target"))
 
 
 def _with(x: str, p: str) -> str:
-    return f"named_struct('size', {x}.size, 'doc_id', {x}.doc_id, 'm', {x}.m, 'copies', {x}.copies, 'p', {p}, 'u', {x}.u)"
+    return f"named_struct('size', {x}.size, 'doc_id', {x}.doc_id, 'h', {x}.h, 'm', {x}.m, 'copies', {x}.copies, 'p', {p}, 'u', {x}.u)"
 
 
 def _decided(x: str, more: int) -> str:
-    return f"array_append(acc.out, named_struct('size', {x}.size, 'doc_id', {x}.doc_id, 'm', {x}.m, 'copies', {x}.copies + {more}L))"
+    return f"array_append(acc.out, named_struct('size', {x}.size, 'doc_id', {x}.doc_id, 'h', {x}.h, 'm', {x}.m, 'copies', {x}.copies + {more}L))"
 
 
 def _next(carrier: str, decided: str) -> str:
     return f"named_struct('c', {carrier}, 'out', {decided})"
 
 
-_UNIT = "struct<size:bigint,doc_id:bigint,m:bigint,copies:bigint,p:double,u:double>"
-_DECIDED = "struct<size:bigint,doc_id:bigint,m:bigint,copies:bigint>"
+_UNIT = "struct<size:bigint,doc_id:bigint,h:bigint,m:bigint,copies:bigint,p:double,u:double>"
+_DECIDED = "struct<size:bigint,doc_id:bigint,h:bigint,m:bigint,copies:bigint>"
 #: Words that can move from x to the carrier, and back, until one of the two is whole.
 _UP = "least((1D - acc.c.p) * acc.c.size, x.p * x.size)"
 _DOWN = "least(acc.c.p * acc.c.size, (1D - x.p) * x.size)"
@@ -91,18 +116,19 @@ def _uniform(*columns, seed: int):
 
 
 def copies(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row per unit: doc_id, source, size, m rows, copies taken of all of them together, source_size, target."""
+    """One row per unit: doc_id, source, size, h (hash of the text), m rows, copies taken of all of them together, source_size, target."""
     rows = sizes(df, id_col, text_col, source_col)
-    units = saved(rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")))
+    units = saved(rows.groupBy("source", "doc_id", "h").agg(F.min("size").alias("size"), F.count("*").alias("m")))
     goals = saved(targets(units, most))
+    who = ("source", "doc_id", "size", "h")
     wish = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0) * F.col("m")
     joined = units.join(goals, units.source.eqNullSafe(goals.source)).drop(goals.source).withColumn("wish", wish)
     whole = F.floor(F.col("wish") + _TINY)
-    split = joined.withColumns({"copies": whole, "p": F.greatest(F.col("wish") - whole, F.lit(0.0)), "u": _uniform("source", "doc_id", "size", seed=seed)})
+    split = joined.withColumns({"copies": whole, "p": F.greatest(F.col("wish") - whole, F.lit(0.0)), "u": _uniform(*who, seed=seed)})
     empty = F.col("size") == 0
     split = split.withColumn("copies", F.col("copies") + (empty & (F.col("u") < F.col("p"))).cast("bigint")).withColumn("p", F.when(empty, 0.0).otherwise(F.col("p")))
     blocks = F.ceil(F.col("n_units") / block)
-    level = split.select("source", F.floor(_uniform("doc_id", "size", "source", seed=seed + 1) * blocks).cast("bigint").alias("block"), F.struct("size", "doc_id", "m", "copies", "p", "u").alias("unit"))
+    level = split.select("source", F.floor(_uniform(*who, seed=seed + 1) * blocks).cast("bigint").alias("block"), F.struct("size", "doc_id", "h", "m", "copies", "p", "u").alias("unit"))
     most_blocks = goals.agg(F.max(F.ceil(F.col("n_units") / block))).first()[0] or 0
     done = []
     while True:
@@ -113,44 +139,56 @@ def copies(df: DataFrame, id_col="doc_id", text_col="text", source_col="source",
             break
         most_blocks = -(-most_blocks // block)
         seed += 1
-        level = left.withColumn("unit", F.col("unit").withField("u", _uniform("source", "unit.doc_id", "unit.size", seed=seed + 1)))
+        level = left.withColumn("unit", F.col("unit").withField("u", _uniform("source", "unit.doc_id", "unit.size", "unit.h", seed=seed + 1)))
     last = left.select("source", "unit.*")
-    done.append(last.select("source", "size", "doc_id", "m", (F.col("copies") + (_uniform("source", "doc_id", "size", seed=seed + 2) < F.col("p")).cast("bigint")).alias("copies")))
+    done.append(last.select("source", "size", "doc_id", "h", "m", (F.col("copies") + (_uniform(*who, seed=seed + 2) < F.col("p")).cast("bigint")).alias("copies")))
     settled = done[0]
     for more in done[1:]:
         settled = settled.unionByName(more)
-    return settled.join(goals, settled.source.eqNullSafe(goals.source)).select("doc_id", settled.source, "size", "m", "copies", "source_size", "target")
+    return settled.join(goals, settled.source.eqNullSafe(goals.source)).select("doc_id", settled.source, "size", "h", "m", "copies", "source_size", "target")
 
 
 def _reduce(level: DataFrame) -> DataFrame:
     """One level of the tree: source, block, out (settled units) and c (what is left, or null)."""
-    fold = level.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units")).select("source", "block", F.expr(f"filter(units, x -> x.p < {_TINY}D)").alias("certain"), F.expr(f"filter(units, x -> x.p >= {_TINY}D)").alias("units"))
+    # Source and block are one key, so that a join by source before is no reason to keep a hot source in one task.
+    fold = level.groupBy(F.struct("source", "block").alias("at")).agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
+    fold = fold.select("at.*", F.expr(f"filter(units, x -> x.p < {_TINY}D)").alias("certain"), F.expr(f"filter(units, x -> x.p >= {_TINY}D)").alias("units"))
     folded = fold.select("source", "block", "certain", F.expr(_FOLD).alias("r"))
-    certain = F.expr("transform(certain, x -> named_struct('size', x.size, 'doc_id', x.doc_id, 'm', x.m, 'copies', x.copies))")
+    certain = F.expr("transform(certain, x -> named_struct('size', x.size, 'doc_id', x.doc_id, 'h', x.h, 'm', x.m, 'copies', x.copies))")
     return folded.select("source", "block", F.concat(certain, "r.out").alias("out"), F.col("r.c").alias("c"))
 
 
 def of_rows(units: DataFrame) -> DataFrame:
     """One row per input row again: a unit's copies shared out over its rows, the first ones one more."""
-    rows = units.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
-    return rows.withColumn("copies", F.floor(F.col("copies") / F.col("m")) + (F.col("k") <= F.col("copies") % F.col("m")).cast("bigint")).drop("k", "m")
+    parts = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(m - 1) div {PART}"))))
+    dealt = parts.repartition("source", "doc_id", "h", "part")
+    k = F.explode(F.sequence(F.col("part") * PART + 1, F.least(F.col("m"), (F.col("part") + 1) * PART)))
+    return dealt.withColumn("k", k).withColumn("copies", F.floor(F.col("copies") / F.col("m")) + (F.col("k") <= F.col("copies") % F.col("m")).cast("bigint")).drop("k", "m", "h", "part")
 
 
 def mixed(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", **settings) -> DataFrame:
     """The input's rows, each as often as the mix takes it."""
-
-    def keys(ident, source):
-        return {"__i": F.coalesce(ident, F.lit(0)), "__in": ident.isNull(), "__s": F.coalesce(source, F.lit("")), "__sn": source.isNull()}
-
-    on = ["__i", "__in", "__s", "__sn", "__z"]
-    units = copies(df, id_col, text_col, source_col, **settings)
-    units = units.withColumns(keys(F.col("doc_id"), F.col("source"))).select(*on[:-1], F.col("size").alias("__z"), F.col("m").alias("__m"), F.col("copies").alias("__c"))
-    rows = df.withColumns(keys(F.col(id_col).cast("bigint"), F.col(source_col).cast("string"))).withColumn("__z", words_in(F.col(text_col)))
-    # Repeated rows share their unit's copies; their window has the join's keys, and needs no further shuffle.
-    k = F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64(F.col(text_col).cast("string"))))
-    often = F.floor(F.col("__c") / F.col("__m")) + (k <= F.col("__c") % F.col("__m")).cast("bigint")
-    taken = rows.join(units, on).withColumn("__t", often).where("__t > 0")
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__t")))).select(df.columns)
+    names = df.columns
+
+    def key(ident, source, h):
+        return F.struct(ident.isNull().alias("a"), F.coalesce(ident, F.lit(0)).alias("b"), source.isNull().alias("c"), F.coalesce(source, F.lit("")).alias("d"), h.alias("e")).alias("k")
+
+    units = copies(df, id_col, text_col, source_col, **settings).where("copies > 0").select(key(F.col("doc_id"), F.col("source"), F.col("h")), "m", "copies")
+    row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row")
+    rows = df.select(key(F.col(id_col).cast("bigint"), F.col(source_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))), row)
+    joined = rows.join(units, "k")
+    single = joined.where("m = 1").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("again"))
+    # Of units of several rows, equal rows are counted first; running counts then say which rows the unit's copies go to.
+    equal = joined.where("m > 1").groupBy(F.struct("k", "m", "copies", "row").alias("g")).agg(F.count("*").alias("n")).select("g.*", "n").withColumn("of", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    parts = equal.groupBy("k", "of").agg(F.sum("n").alias("n"))
+    first = parts.select("k", "of", (F.sum("n").over(Window.partitionBy("k").orderBy("of")) - F.col("n")).alias("first"))
+    within = F.sum("n").over(Window.partitionBy("k", "of").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = equal.withColumn("within", F.coalesce(within, F.lit(0))).join(first, ["k", "of"]).withColumn("at", F.col("first") + F.col("within"))
+    more = F.greatest(F.lit(0), F.least(F.col("at") + F.col("n"), F.col("copies") % F.col("m")) - F.col("at"))
+    often = placed.select("k", "row", (F.floor(F.col("copies") / F.col("m")) * F.col("n") + more).alias("t")).where("t > 0")
+    dealt = often.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(t - 1) div {PART}")))).repartition("k", "part")
+    several = dealt.select("row", F.explode(F.sequence(F.col("part") * PART + 1, F.least(F.col("t"), (F.col("part") + 1) * PART))).alias("again"))
+    return single.unionByName(several).select(*(F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
