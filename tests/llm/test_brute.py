@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,9 +128,39 @@ def test_touching_candidates_are_kept(spark):
     assert {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.listed("spans").alias("s")).collect()} == {0: "card:22:41", 1: "card:15:34"}
     assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {0: "transfer to [IBAN] now", 1: "iban [IBAN] please"}
     # A beats B and B beats C, A and C lie apart; D overlaps a base span.
-    row = ([((0, 10, 4), 3.0), ((8, 20, 5), 2.0), ((18, 30, 6), 1.0), ((38, 44, 7), 4.0)], [(40, 2, 50)])
-    df = spark.createDataFrame([row], "y array<struct<c:struct<start:bigint,end:bigint,kind:int>,score:double>>, base array<struct<start:bigint,kind:int,end:bigint>>")
-    assert [tuple(s) for s in df.select(pii._added(df.y, df.base).alias("s")).first().s] == [(0, 4, 10), (18, 6, 30)]
+    row = ([(0, 4, 10, 3.0), (8, 5, 20, 2.0), (18, 6, 30, 1.0), (38, 7, 44, 4.0)], [(40, 2, 50)])
+    df = spark.createDataFrame([row], "y array<struct<start:bigint,kind:int,end:bigint,score:double>>, base array<struct<start:bigint,kind:int,end:bigint>>")
+    assert [tuple(s) for s in pii._with_added(df, "base", "y", "s").first().s] == [(0, 4, 10), (18, 6, 30)]
+
+
+def test_added_spans_as_plainly(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(300):
+        spans = lambda n, kinds: sorted({(a := rng.randrange(60 * n // 4 + 8), rng.choice(kinds), a + rng.randint(1, 9)) for _ in range(rng.randint(0, n))})
+        rows.append(([(*s, rng.choice([0.5, 1.0, rng.random()])) for s in spans(rng.choice([2, 9, 400]), [4, 5, 6, 7, 8])], spans(rng.choice([2, 9, 300]), [0, 1, 2, 3])))
+    df = spark.createDataFrame(rows, "y array<struct<start:bigint,kind:int,end:bigint,score:double>>, base array<struct<start:bigint,kind:int,end:bigint>>")
+    got = [[tuple(s) for s in r.s] for r in pii._with_added(df.coalesce(1), "base", "y", "s").select("s").collect()]
+    for (candidates, base), found in zip(rows, got):
+        chosen = []
+        for start, kind, end, score in sorted(candidates, key=lambda c: (-c[3], c[0], c[1], c[2])):
+            if all(end <= a or b <= start for a, _, b in [*base, *chosen]):
+                chosen.append((start, kind, end))
+        assert sorted(found) == sorted(chosen)
+
+
+def test_many_spans_in_one_text(spark):
+    def took(n):
+        text = " ".join(f'é token = "{i:08x}9c8b45435718dcc700c184a7e303cdc6" u{i}@b.example' for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        began = time.time()
+        clean = pii.redact(df).first().text
+        assert clean == " ".join(['é token = "[SECRET]" [EMAIL]'] * n)
+        assert pii.find(df).selectExpr("size(spans) AS n").first().n == 2 * n
+        return time.time() - began
+
+    took(500)
+    assert took(4_000) < 40
 
 
 def test_trees_as_column_and_numpy(spark):
@@ -139,7 +170,7 @@ def test_trees_as_column_and_numpy(spark):
     df = spark.createDataFrame(x.tolist(), "a double, b double, c double")
     from pyspark.sql import functions as F
 
-    got = np.array([r[0] for r in df.select(trees.column([F.col("a"), F.col("b"), F.col("c")])).collect()])
+    got = np.array([r[0] for r in df.select(F.expr(trees.sql(lambda k: "abc"[k]))).collect()])
     assert np.allclose(got, trees.margin(x)) and ((got > 0) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 

@@ -1,16 +1,15 @@
 """Gradient-boosted trees for a yes/no label, trained in numpy on a bounded sample, with calibrated probabilities.
 
 Trees have a fixed depth and are stored level by level, so that a prediction is `depth` comparisons, in numpy for
-batches of rows or as a Spark expression for columns.
+batches of rows or as SQL for columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -34,20 +33,18 @@ class Trees:
             total += v[at - (2**self.depth - 1)]
         return self.slope * total + self.shift
 
-    def column(self, features: list[Column]) -> Column:
-        """The same log-odds as an expression over feature columns."""
+    def sql(self, feature: Callable[[int], str]) -> str:
+        """The same log-odds as SQL, where feature(k) is the k-th feature's."""
 
-        def node(t: int, at: int) -> Column:
+        def node(t: int, at: int) -> str:
             if at >= 2**self.depth - 1:
-                return F.lit(float(self.leaf[t][at - (2**self.depth - 1)]))
+                return f"{float(self.leaf[t][at - (2**self.depth - 1)])!r}D"
             low, high = node(t, 2 * at + 1), node(t, 2 * at + 2)
             cut = float(self.cut[t][at])
-            return low if cut == np.inf else F.when(features[self.feature[t][at]] > cut, high).otherwise(low)
+            return low if cut == np.inf else f"IF({feature(self.feature[t][at])} > {cut!r}D, {high}, {low})"
 
-        total = F.lit(float(self.start))
-        for t in range(len(self.leaf)):
-            total = total + node(t, 0)
-        return total * float(self.slope) + float(self.shift)
+        total = " + ".join([f"{float(self.start)!r}D", *(node(t, 0) for t in range(len(self.leaf)))])
+        return f"({total}) * {float(self.slope)!r}D + {float(self.shift)!r}D"
 
 
 def _bins(x: np.ndarray, most: int) -> list[np.ndarray]:

@@ -8,6 +8,7 @@ r"""Personal data by candidate gradient boosting, in DataFrame operations only.
    labelled sentences that a generator writes; features are made by the same expressions in training and in use. A kind's
    threshold is the lowest one that reaches `PRECISION` on the calibration part.
 4. Candidates over their threshold are added by decreasing score, each unless it overlaps a base span or one added before.
+   Spans are sorted once and compared along their order, so that only runs of overlapping candidates are compared in pairs.
    `redact` replaces the union of the base spans and of all candidates over their threshold by their kinds' marks.
 
 Defined results: null is the empty text: no spans. Repeated rows give repeated results; other columns are ignored, whatever
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import json
 import random
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +37,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
@@ -45,34 +45,46 @@ PATTERNS = {
 }
 #: What a text, in lower case, must contain for a pattern to be tried: cheap, and true of every text with a match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-", "email_words": "dot"}
+#: What a match must contain to be a candidate.
+MUST = {"secret": "[0-9]"}
 PRECISION = 0.95
 _BLOCK = 128
 _BEFORE, _AFTER = 32, 16
 
 
-def _starts(steps: Column) -> Column:
-    """Sums of the elements before each element: blocks of _BLOCK first, then inside them, so that no long array is copied often."""
-    def running(xs: Column, first: Column) -> Column:
-        start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(xs, start, lambda acc, x: F.struct((acc.at + x).alias("at"), F.array_append(acc.out, acc.at).alias("out")), lambda acc: acc.out)
+def _with_running(rows: DataFrame, out: str, xs: str | Column, zero: int, op: str) -> DataFrame:
+    """Adds the column `out`: folds of the elements before each element of xs by an associative op of a and x, in SQL; null for null and for no elements.
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, _BLOCK))
-    sums = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return F.flatten(F.zip_with(blocks, running(sums, F.lit(0).cast("bigint")), running))
+    Blocks of _BLOCK are folded first, then inside them, so that no long array is copied often. Arrays that a lambda reads
+    are columns which it reads twice or more: one that is read once would be computed anew for every element.
+    """
+    zero = f"CAST({zero} AS BIGINT)"
 
+    def running(xs: str, first: str) -> str:
+        return f"aggregate({xs}, named_struct('at', {first}, 'out', CAST(array() AS array<bigint>)), (acc, x) -> named_struct('at', {op.format(a='acc.at', x='x')}, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
 
-_CANDIDATE = "array<struct<kind:int,start:bigint,end:bigint,match:string,before:string,after:string>>"
+    blocks = f"transform(sequence(0, CAST(floor((size(__xs) - 1) / {_BLOCK}) AS INT)), b -> slice(__xs, b * {_BLOCK} + 1, {_BLOCK}))"
+    folds = f"transform({blocks}, ys -> aggregate(ys, {zero}, (a, x) -> {op.format(a='a', x='x')}))"
+    folded = F.expr(f"CASE WHEN size(__xs) > 0 THEN flatten(zip_with({blocks}, {running(folds, zero)}, (ys, first) -> {running('ys', 'first')})) END")
+    return rows.withColumn("__xs", F.expr(xs) if isinstance(xs, str) else xs).withColumn(out, folded).drop("__xs")
 
 
-def _placed(number: int):
-    """Of the i-th match of a kind: its place, from the sums __s and the pieces __g around the matches, and its context."""
+_SUM, _LARGER, _SMALLER = "{a} + {x}", "greatest({a}, {x})", "least({a}, {x})"
 
-    def make(m: Column, i: Column) -> Column:
-        start = F.col("__s")[i] + F.length(F.col("__g")[i])
-        before, after = F.right(F.col("__g")[i], F.lit(_BEFORE)), F.left(F.col("__g")[i + 1], F.lit(_AFTER))
-        return F.struct(F.lit(number).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), before.alias("before"), after.alias("after"))
 
-    return make
+def _heads(starts: Column, ends: Column) -> Column:
+    """Places of the elements that start at or after the ends so far."""
+    return F.filter(F.transform(F.zip_with(starts, ends, lambda s, e: s >= e), lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+
+
+_CANDIDATE = "array<struct<kind:int,start:bigint,end:bigint,match:string,before:string,after:string,from:bigint,to:bigint>>"
+
+
+#: Of the i-th match m of a kind: its place, from the sums __s and the pieces __g around the matches, its context, and its place in bytes.
+_PLACED = (
+    "transform(__m, (m, i) -> named_struct('kind', {kind}, 'start', __s[i] + length(__g[i]), 'end', __s[i] + length(__g[i]) + length(m), 'match', m,"
+    " 'before', right(__g[i], {before}), 'after', left(__g[i + 1], {after}), 'from', __b[i] + octet_length(__g[i]), 'to', __b[i] + octet_length(__g[i]) + octet_length(m)))"
+)
 
 
 def _candidates(df: DataFrame) -> DataFrame:
@@ -83,11 +95,12 @@ def _candidates(df: DataFrame) -> DataFrame:
         low = F.lower(text) if pattern.startswith("(?i)") else text
         df = df.withColumn("__m", F.when(F.contains(low, F.lit(NEEDS[kind])), found) if kind in NEEDS else found)
         df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, pattern, -1)))
-        gaps = F.transform("__g", lambda x: F.length(x).cast("bigint"))
-        steps = F.zip_with(F.slice(gaps, 1, F.size("__m")), F.transform("__m", lambda x: F.length(x).cast("bigint")), lambda a, b: a + b)
-        df = df.withColumn("__s", F.when(F.size("__m") > 0, _starts(steps)))
-        made = F.transform("__m", _placed(number))
-        df = df.withColumn(f"c_{kind}", F.when(F.size("__m") > 0, made).otherwise(F.array().cast(_CANDIDATE))).drop("__m", "__g", "__s")
+        for out, of in (("__s", "length"), ("__b", "octet_length")):
+            df = _with_running(df, out, f"zip_with(slice(__g, 1, size(__m)), __m, (g, m) -> CAST({of}(g) + {of}(m) AS BIGINT))", 0, _SUM)
+        made = _PLACED.format(kind=number, before=_BEFORE, after=_AFTER)
+        if kind in MUST:
+            made = f"filter({made}, c -> c.match RLIKE '{MUST[kind]}')"
+        df = df.withColumn(f"c_{kind}", F.expr(f"CASE WHEN size(__m) > 0 THEN {made} ELSE CAST(array() AS {_CANDIDATE}) END")).drop("__m", "__g", "__s", "__b")
     return df
 
 
@@ -123,11 +136,10 @@ def _features(c: Column) -> list[Column]:
     n = F.length(match).cast("double")
     digits = F.length(_digits(match))
     says = lambda words: before.rlike(rf"(?i)\b(?:{words})\w{{0,3}}\b[^.!?\n]*$").cast("double")
-    part = F.left(match, F.lit(64))
     return [
         c.kind.cast("double"), n, digits / n, F.length(F.regexp_replace(match, "[^A-Za-z]", "")) / n, F.length(F.regexp_replace(match, "[^A-Z]", "")) / n,
-        F.size(F.array_distinct(F.split(part, ""))) / F.length(part), F.length(F.regexp_replace(match, r"[^\x20().-]", "")).cast("double"),
-        F.when(digits.between(12, 19), _luhn(F.left(_digits(match), F.lit(19))).cast("double")).otherwise(0.0), match.rlike("^[0-9a-f]+$").cast("double"),
+        F.size(F.array_distinct(F.split(match, ""))) / n, F.length(F.regexp_replace(match, r"[^\x20().-]", "")).cast("double"),
+        F.when(digits.between(12, 19), _luhn(_digits(match)).cast("double")).otherwise(0.0), match.rlike("^[0-9a-f]+$").cast("double"),
         says("token|secret|api|key|passw|pwd|auth|bearer|credential|credentials|password"), says("phone|tel|call|mobile|fax|cell|dial|contact|reach"), says("iban|account|bank|transfer"), says("ssn|social|security|tax|passport|insurance"),
         says("version|order|invoice|commit|isbn|hash|sha|build|ref|id|article|model|serial|sku|part|page|checksum|file"), before.rlike("[\"'`]$").cast("double"), before.rlike(r"[=:]\s*[\"'`]?$").cast("double"),
         before.rlike(r"\w$").cast("double"), after.rlike(r"^\w").cast("double"), before.rlike(r"[0-9][^a-zA-Z]{0,2}$").cast("double"), match.rlike(r"(?i)[\[(]\s?at\s?[\])]").cast("double"),
@@ -190,9 +202,8 @@ def _sentences(rng: random.Random, count: int) -> list[tuple[str, int, int]]:
 TRAINING_SENTENCES, SEED = 3000, 23
 
 
-@lru_cache(2)
-def _fitted(applied: str) -> tuple[boosting.Trees, dict[int, float]]:
-    rows = np.array(json.loads(applied), float)
+def _fitted(rows: list) -> tuple[boosting.Trees, dict[int, float]]:
+    rows = np.array(rows, float)
     x, y = rows[:, 1:], rows[:, 0]
     trees = boosting.train(x, y, rounds=25, depth=3)
     held = np.arange(len(y)) % 4 == 3
@@ -206,13 +217,18 @@ def _fitted(applied: str) -> tuple[boosting.Trees, dict[int, float]]:
     return trees, thresholds
 
 
-def model(spark: SparkSession) -> tuple[boosting.Trees, dict[int, float]]:
-    """Trees and the log-odds threshold of each extra kind. The sentences go in as one literal: the session runs no Python for them."""
-    rows = [{"t": t, "y": y, "k": k} for t, y, k in _sentences(random.Random(SEED), TRAINING_SENTENCES)]
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<t:string,y:int,k:int>>")).alias("r")).select(F.col("r.t").alias("__text"), "r.y", "r.k")
-    made = _candidates(table.withColumn("__text", F.coalesce("__text", F.lit("")))).select("y", "k", F.explode(F.concat(*(f"c_{k}" for k in EXTRA))).alias("c")).where("c.kind = k")
-    got = made.select(F.array(F.col("y").cast("double"), *_features(F.col("c"))).alias("v")).collect()
-    return _fitted(json.dumps(sorted(r.v for r in got)))
+_MODELS: dict[tuple, tuple[boosting.Trees, dict[int, float]]] = {}
+
+
+def model(spark: SparkSession, count: int = TRAINING_SENTENCES, seed: int = SEED) -> tuple[boosting.Trees, dict[int, float]]:
+    """Trees and the log-odds threshold of each extra kind, trained once in a process. The sentences go in as one literal: the session runs no Python for them."""
+    if (count, seed) not in _MODELS:
+        rows = [{"t": t, "y": y, "k": k} for t, y, k in _sentences(random.Random(seed), count)]
+        table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<t:string,y:int,k:int>>")).alias("r")).select(F.col("r.t").alias("__text"), "r.y", "r.k")
+        made = _candidates(table.withColumn("__text", F.coalesce("__text", F.lit("")))).select("y", "k", F.explode(F.concat(*(f"c_{k}" for k in EXTRA))).alias("c")).where("c.kind = k")
+        got = made.select(F.array(F.col("y").cast("double"), *_features(F.col("c"))).alias("v")).collect()
+        _MODELS[count, seed] = _fitted(sorted(r.v for r in got))
+    return _MODELS[count, seed]
 
 
 # ---- use
@@ -229,30 +245,79 @@ def _span(c: Column) -> Column:
     return F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end"))
 
 
-def _added(scored: Column, base: Column) -> Column:
-    """Spans of the candidates (c, score), by decreasing score, then start and kind, that overlap neither a base span nor one added before."""
-    free = F.filter(scored, lambda x: ~F.exists(base, lambda b: _overlaps(b, x.c)))
-    ranked = F.transform(F.array_sort(F.transform(free, lambda x: F.struct((-x.score).alias("worse"), _span(x.c).alias("s")))), lambda x: x.s)
-    return F.aggregate(ranked, F.array().cast(f"array<{_SPAN}>"), lambda acc, s: F.when(F.exists(acc, lambda o: _overlaps(o, s)), acc).otherwise(F.array_append(acc, s)))
-
-
-def find(df: DataFrame, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
-    """doc_id, the columns in keep, base, spans and every (also candidates over their threshold that overlap others): arrays of (start, kind, end), by start and then kind."""
+def _with_free(rows: DataFrame, base: str, candidates: str) -> DataFrame:
+    """Replaces the column `candidates` (start, kind, end, score) by those of them that overlap no span of the column `base`, in order.
+
+    Both are sorted together. Before a candidate, the largest end of a base span so far shows an overlap; after it, the next base span's start does.
+    """
+    far = (1 << 62) - 1
+    tagged = F.concat(
+        F.transform(base, lambda b: F.struct(b.start.alias("start"), F.lit(0).alias("tag"), b.kind.alias("kind"), b.end.alias("end"), F.lit(0.0).alias("score"))),
+        F.transform(candidates, lambda c: F.struct(c.start.alias("start"), F.lit(1).alias("tag"), c.kind.alias("kind"), c.end.alias("end"), c.score.alias("score"))),
+    )
+    busy = (F.size(base) > 0) & (F.size(candidates) > 0)
+    rows = rows.withColumn("__all", F.when(busy, F.array_sort(tagged)))
+    rows = _with_running(rows, "__before", "transform(__all, x -> IF(x.tag = 0, x.end, CAST(-1 AS BIGINT)))", -1, _LARGER)
+    rows = _with_running(rows, "__after", f"transform(reverse(__all), x -> IF(x.tag = 0, x.start, {far}L))", far, _SMALLER)
+    judged = F.zip_with(F.zip_with("__all", "__before", lambda x, t: F.struct(x.alias("x"), ((x.tag == 1) & (t <= x.start)).alias("free"))), F.reverse("__after"), lambda r, t: F.struct(r.x.alias("x"), (r.free & (t >= r.x.end)).alias("free")))
+    plain = F.transform(F.filter(judged, lambda r: r.free), lambda r: F.struct(r.x.start.alias("start"), r.x.kind.alias("kind"), r.x.end.alias("end"), r.x.score.alias("score")))
+    return rows.withColumn(candidates, F.when(busy, plain).otherwise(F.col(candidates))).drop("__all", "__before", "__after")
+
+
+def _best(run: Column) -> Column:
+    """Of candidates in one run of overlaps: by decreasing score, then start and kind, each that overlaps none chosen before."""
+    ranked = F.transform(F.array_sort(F.transform(run, lambda x: F.struct((-x.score).alias("worse"), _span(x).alias("s")))), lambda x: x.s)
+    chosen = F.aggregate(ranked, F.array().cast(f"array<{_SPAN}>"), lambda acc, s: F.when(F.exists(acc, lambda o: _overlaps(o, s)), acc).otherwise(F.array_append(acc, s)))
+    return F.when(F.size(run) > 1, chosen).otherwise(F.transform(run, _span))
+
+
+def _with_added(rows: DataFrame, base: str, candidates: str, out: str) -> DataFrame:
+    """Adds the column `out`: spans of the candidates (start, kind, end, score, in order) that overlap neither a base span nor a better one that was chosen."""
+    rows = _with_free(rows, base, candidates)
+    there = F.size(candidates) > 0
+    rows = _with_running(rows, "__to", F.transform(candidates, lambda x: x.end), -1, _LARGER)
+    # Where a candidate starts at or after all ends so far, a new run of overlaps begins: only inside a run can one exclude another.
+    rows = rows.withColumn("__heads", F.when(there, _heads(F.transform(candidates, lambda x: x.start), F.col("__to"))))
+    nexts = F.concat(F.slice("__heads", 2, F.size("__heads")), F.array(F.size(candidates)))
+    runs = F.zip_with("__heads", nexts, lambda h, k: F.slice(F.col(candidates), h + 1, k - h))
+    return rows.withColumn(out, F.when(there, F.flatten(F.transform(runs, _best))).otherwise(F.array().cast(f"array<{_SPAN}>"))).drop("__to", "__heads")
+
+
+def _scored(df: DataFrame, id_col: str, text_col: str, keep) -> DataFrame:
+    """doc_id, the columns in keep, __base (checked candidates of the base kinds, in order) and __y (c, score: candidates over their threshold)."""
     trees, thresholds = model(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), *keep, F.coalesce(text_of(df, text_col), F.lit("")).alias("__text"))
     rows = _candidates(rows)
     checked = lambda k: F.filter(f"c_{k}", lambda c: _valid(k, c))
-    base = [F.transform(checked(k), _span) for k in BASE]
-    rows = rows.withColumn("base", F.array_sort(F.concat(*base)))
+    rows = rows.withColumn("__base", F.concat(*(F.transform(checked(k), _whole_span) for k in BASE)))
+    rows = rows.withColumn("__base", F.when(F.size("__base") > 1, F.array_sort("__base")).otherwise(F.col("__base")))
     # The trees run where there is a candidate; most texts have none.
     rows = rows.withColumn("__x", F.concat(*(f"c_{k}" for k in EXTRA)))
     limit = lambda kind: F.coalesce(*(F.when(kind == k, F.lit(t)) for k, t in thresholds.items()))
-    scored = F.transform(F.transform("__x", lambda c: F.struct(c.alias("c"), F.array(*_features(c)).alias("f"))), lambda x: F.struct(x.c.alias("c"), trees.column([x.f[i] for i in range(len(FEATURES))]).alias("score")))
+    rows = rows.withColumn("__f", F.transform("__x", lambda c: F.struct(_whole_span(c).alias("c"), F.array(*_features(c)).alias("f"))))
+    scored = F.expr(f"transform(__f, x -> named_struct('c', x.c, 'score', {trees.sql(lambda k: f'x.f[{k}]')}))")
     rows = rows.withColumn("__y", F.when(F.size("__x") > 0, scored))
-    rows = rows.withColumn("__y", F.filter("__y", lambda x: x.score >= limit(x.c.kind)))
-    rows = rows.withColumn("every", F.when(F.size("__y") > 0, F.array_sort(F.concat("base", F.transform("__y", lambda x: _span(x.c))))).otherwise(F.col("base")))
-    rows = rows.withColumn("spans", F.when(F.size("__y") > 0, F.array_sort(F.concat("base", _added(F.col("__y"), F.col("base"))))).otherwise(F.col("base")))
-    return rows.drop("__text", "__x", "__y", *(f"c_{k}" for k in KINDS))
+    rows = rows.withColumn("__y", F.coalesce(F.filter("__y", lambda x: x.score >= limit(x.c.kind)), F.array().cast(f"array<struct<c:{_WHOLE},score:double>>")))
+    return rows.drop("__text", "__x", "__f", *(f"c_{k}" for k in KINDS))
+
+
+_WHOLE = "struct<start:bigint,kind:int,end:bigint,from:bigint,to:bigint>"
+
+
+def _whole_span(c: Column) -> Column:
+    """A span with its place in bytes."""
+    return F.struct(c.start.alias("start"), c.kind.alias("kind"), c.end.alias("end"), c["from"].alias("from"), c["to"].alias("to"))
+
+
+def find(df: DataFrame, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
+    """doc_id, the columns in keep, base, spans and every (also candidates over their threshold that overlap others): arrays of (start, kind, end), by start and then kind."""
+    rows = _scored(df, id_col, text_col, keep)
+    rows = rows.withColumn("base", F.transform("__base", _span))
+    some = F.size("__y") > 0
+    rows = rows.withColumn("every", F.when(some, F.array_sort(F.concat("base", F.transform("__y", lambda x: _span(x.c))))).otherwise(F.col("base")))
+    rows = rows.withColumn("__c", F.array_sort(F.transform("__y", lambda x: F.struct(x.c.start.alias("start"), x.c.kind.alias("kind"), x.c.end.alias("end"), x.score.alias("score")))))
+    rows = _with_added(rows, "base", "__c", "__added")
+    return rows.withColumn("spans", F.when(some, F.array_sort(F.concat("base", "__added"))).otherwise(F.col("base"))).drop("__base", "__y", "__c", "__added")
 
 
 def listed(spans: str) -> Column:
@@ -262,16 +327,31 @@ def listed(spans: str) -> Column:
 
 
 def redact(df: DataFrame, text_col="text", id_col="doc_id") -> DataFrame:
-    """The same columns, with spans that touch or overlap merged and replaced by [KIND] of the first; null texts stay null."""
+    """The same columns, with spans that overlap merged and replaced by [KIND] of the first; null texts stay null.
+
+    The text is cut in bytes, where a piece costs its own length only.
+    """
     names = df.columns
-    packed = df.select(F.struct(*names).alias("__row"), F.col(id_col), F.col(text_col))
-    found = find(packed, id_col, text_col, keep=[F.col("__row"), F.col(text_col).cast("string").alias("__t")])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)))
+    packed = df.select(row.alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
+    rows = _scored(packed, "__id", "__t", [F.col("__row"), F.col("__t")])
+    rows = rows.withColumn("__all", F.array_sort(F.concat("__base", F.transform("__y", lambda x: x.c))))
+    there = F.size("__all") > 0
+    rows = _with_running(rows, "__to", "transform(__all, s -> s.to)", 0, _LARGER)
+    rows = rows.withColumn("__heads", F.when(there, _heads(F.transform("__all", lambda s: s["from"]), F.col("__to"))))
+    rows = rows.withColumn("__bytes", F.when(there, F.col("__t").cast("binary")))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    step = lambda acc, s: F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start < acc.at, acc.out).otherwise(F.concat(acc.out, F.array(F.substring(F.col("__t"), acc.at.cast("int") + 1, (s.start - acc.at).cast("int")), marks[s.kind]))).alias("out"))
-    ends = lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(F.col("__t"), acc.at.cast("int") + 1, F.length("__t")))
-    text = F.when(F.size("every") > 0, F.aggregate("every", start, step, ends)).otherwise(F.col("__t"))
-    return found.select(*(text.alias(n) if n == text_col else F.col("__row").getField(n).alias(n) for n in names))
+
+    def piece(h: Column) -> Column:
+        """The text between the run of spans before and this one, and this one's mark."""
+        end = F.col("__to")[h]
+        between = F.substring(F.col("__bytes"), (end + 1).cast("int"), (F.col("__all")[h]["from"] - end).cast("int"))
+        return F.concat(between.cast("string"), marks[F.col("__all")[h].kind])
+
+    last = F.array_max(F.transform("__all", lambda s: s["to"]))
+    rest = F.substring(F.col("__bytes"), (last + 1).cast("int"), F.octet_length("__bytes")).cast("string")
+    text = F.when(there, F.concat(F.array_join(F.transform("__heads", piece), ""), rest)).otherwise(F.col("__t"))
+    return rows.select(*(text.alias(n) if n == text_col else F.col("__row").getField(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
