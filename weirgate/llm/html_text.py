@@ -8,7 +8,8 @@ kept nodes, where a node can be kept only with its parent: a dropped ancestor ha
 
 Defined results: null, empty and text-free html give an empty text. Scripts, styles, templates, comments and the head are
 never text. Unclosed and stray tags are closed as browsers do in the common cases; html cut off in a tag or a character
-reference gives the text up to there. `<br>` is white space inside its block. Repeated rows give repeated results; other
+reference gives the text up to there. `<br>` is white space inside its block. A `<header>` counts as a header wherever it stands,
+so a title and byline in an article's own `<header>` are not main text. Repeated rows give repeated results; other
 columns are ignored. Pages are read whole, and no part of the work recurses on depth.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import map_column
+from .common import map_column, spread
 
 # Element names by role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -59,6 +60,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, int]] = []  # tag, its node
+        self.places: dict[str, list[int]] = {}  # places of each tag among the open elements, so that no search walks over them
+        self.blocks_open: list[int] = []  # places of open block elements
         self.block = self.skip = self.anchors = self.heads = 0
         self.bare = -1  # node of the present run of bare text
 
@@ -82,7 +85,9 @@ class _Builder(HTMLParser):
                 self.heads -= tag == "head"
             elif tag == "a":
                 self.anchors -= 1
+            self.places[tag].pop()
             if tag in BLOCKS:
+                self.blocks_open.pop()
                 self.block += 1
                 self.bare = -1
         before = self.node
@@ -90,18 +95,19 @@ class _Builder(HTMLParser):
         if self.node != before:
             self.bare = -1
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
     def _close_to(self, tags: set[str], stops: set[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in stops:
-                return
-            if self.open[k][0] in tags:
-                self._close(k)
-                return
+        k = self._last(tags)
+        if k > self._last(stops):
+            self._close(k)
 
     def _end_head(self) -> None:
         """Ends a head without an end tag, if nothing else is skipped inside it."""
         if self.heads and self.skip == self.heads:
-            self._close(next(k for k, (t, _) in enumerate(self.open) if t == "head"))
+            self._close(self.places["head"][0])
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag not in IN_HEAD:
@@ -130,6 +136,9 @@ class _Builder(HTMLParser):
             self.heads += tag == "head"
         elif tag == "a":
             self.anchors += 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks_open.append(len(self.open))
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -138,12 +147,13 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._close(k)
-                return
-            if tag not in BLOCKS and tag not in SKIPPED and self.open[k][0] in BLOCKS:
-                return
+        k = self._last((tag,))
+        inline = tag not in BLOCKS and tag not in SKIPPED
+        if inline and self.blocks_open and self.blocks_open[-1] > k:
+            return
+        if k >= 0:
+            self._close(k)
+            return
         if tag == "p":
             self.block += 1
 
@@ -383,5 +393,5 @@ def extract_text(df: DataFrame, id_col="page_id", html_col="html", keep=(), tree
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return extract_text(pages, keep=[F.col("url")]).withColumn("n_chars", F.length("text").cast("bigint"))
