@@ -1,11 +1,12 @@
 r"""Quality rules with host verdicts: rule failures by host, rates shrunk with an empirical beta prior, verdicts joined back.
 
 1. Each text is measured once, in a pass over all of it; only counts go on.
-2. A document fails softly if any of the soft rules below does. Failures are summed by host (map-side first).
-3. The beta prior's two parameters come from the mean and variance of the hosts' own rates (method of moments over all
-   hosts); each host's rate is (failures + a) / (documents + a + b), so that hosts with few documents lean on the prior.
-4. A host is bad if its shrunk rate is above `bad_rate`. A document stays unless it fails the base rule, or it fails softly
-   and its host is bad. So a clean document stays wherever it is.
+2. Each soft rule below is judged by itself. Its failures are summed by host (map-side first).
+3. Each rule has a beta prior, whose two parameters come from the mean and variance of the hosts' own rates (method of moments
+   over all hosts); a host's rate of a rule is (failures + a) / (documents + a + b), so that hosts with few documents lean on
+   the prior.
+4. A host is bad in a rule if its shrunk rate is above `bad_rate`. A document stays unless it fails the base rule, or it fails
+   a soft rule in which its host is bad. So a clean document stays wherever it is.
 
 Defined results: a null or empty text has no words and fails the base rule. A null host takes part in no host verdict:
 its documents are judged by the base rule alone. An empty table gives an empty result. Repeated rows are separate
@@ -61,18 +62,32 @@ def measures(df: DataFrame, id_col="doc_id", text_col="text", host_col="source")
     return map_column(df, keep, text_of(df, text_col), make, pa.schema([(k, pa.int64()) for k in _COUNTS]))
 
 
+#: The soft rules, in order; a text below the base rule's length fails all of them.
+RULES = ("symbols", "repeats", "dup_lines", "short_words", "long_words")
+
+
 def with_rules(counts: DataFrame) -> DataFrame:
     n, chars = F.col("n_words"), F.col("word_chars")
-    base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    soft = base | (100 * F.col("n_symbols") > MAX_SYMBOLS * chars) | (100 * F.col("n_repeat_words") > MAX_REPEATS * n) | (100 * F.col("n_dup_lines") > MAX_DUP_LINES * n) | (chars < MIN_MEAN * n) | (chars > MAX_MEAN * n)
-    return counts.withColumns({"base_failed": base, "soft_failed": soft})
+    short = n < 50
+    soft = {
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOLS * chars,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEATS * n,
+        "dup_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINES * n,
+        "short_words": chars < MIN_MEAN * n,
+        "long_words": chars > MAX_MEAN * n,
+    }
+    return counts.withColumns({"base_failed": short | (100 * F.col("n_repeat_words") > 50 * n), **{f"failed_{k}": short | soft[k] for k in RULES}})
+
+
+def beta_priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """The two parameters of each rule's prior from the hosts' rates: a count and two sums for each rule reach the driver. Without hosts it is flat."""
+    # Rates in whole ten-thousandths: the order of their sum doesn't matter.
+    rate = lambda k: F.round(F.col(f"failures_{k}") / F.col("host_docs") * 10000).cast("bigint")
+    count, *sums = hosts.agg(F.count("*"), *(x for k in RULES for x in (F.sum(rate(k)), F.sum(rate(k) * rate(k))))).first()
+    return {k: _prior(count, s1, s2) for k, s1, s2 in zip(RULES, sums[::2], sums[1::2])}
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """The prior's two parameters from the hosts' rates: three sums reach the driver. Without hosts it is flat."""
-    # Rates in whole ten-thousandths: the order of their sum doesn't matter.
-    rate = F.round(F.col("host_failures") / F.col("host_docs") * 10000).cast("bigint")
-    k, s1, s2 = hosts.agg(F.count("*"), F.sum(rate), F.sum(rate * rate)).first()
+def _prior(k: int, s1: int, s2: int) -> tuple[float, float]:
     if not k:
         return 1.0, 1.0
     mean = min(max(s1 / k / 10000, 0.001), 0.999)
@@ -82,18 +97,24 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def host_verdicts(ruled: DataFrame, bad_rate=BAD_RATE) -> DataFrame:
-    """host, its documents and failures, shrunk rate and verdict."""
+    """host, its documents, and for each rule its failures, shrunk rate and verdict."""
     # Written, the hosts have no partitioning of their own: both sides of a join with them are dealt anew, and a hot host is split.
-    hosts = saved(ruled.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("soft_failed").cast("bigint")).alias("host_failures")))
-    a, b = beta_prior(hosts)
-    shrunk = (F.col("host_failures") + a) / (F.col("host_docs") + (a + b))
-    return hosts.select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > bad_rate).alias("host_bad"))
+    sums = [F.sum(F.col(f"failed_{k}").cast("bigint")).alias(f"failures_{k}") for k in RULES]
+    hosts = saved(ruled.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), *sums))
+    out = []
+    for k, (a, b) in beta_priors(hosts).items():
+        shrunk = (F.col(f"failures_{k}") + a) / (F.col("host_docs") + (a + b))
+        out += [f"failures_{k}", shrunk.alias(f"rate_{k}"), (shrunk > bad_rate).alias(f"bad_{k}")]
+    return hosts.select("host", "host_docs", *out)
 
 
 def judge(df: DataFrame, id_col="doc_id", text_col="text", host_col="source", bad_rate=BAD_RATE) -> DataFrame:
     ruled = with_rules(saved(measures(df, id_col, text_col, host_col)))
     joined = ruled.join(host_verdicts(ruled, bad_rate), "host", "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("host_bad", F.lit(False))))
+    fails = F.lit(False)
+    for k in RULES:
+        fails = fails | (F.col(f"failed_{k}") & F.coalesce(f"bad_{k}", F.lit(False)))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~fails)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +137,18 @@ m AS (
     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
 r AS (
-  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-    (n_words < 50 OR 100 * n_symbols > 5 * word_chars OR 100 * n_repeat_words > 20 * n_words OR 100 * n_dup_lines > 2 * n_words
-      OR word_chars < 2 * n_words OR word_chars > 12 * n_words) AS soft_failed FROM m),
-h AS (SELECT host, count(*) AS n, sum(soft_failed::BIGINT)::BIGINT AS f FROM r WHERE host IS NOT NULL GROUP BY host),
-p AS (SELECT count(*) AS k, sum(round(f / n * 10000)::BIGINT)::DOUBLE AS s1, sum((round(f / n * 10000) * round(f / n * 10000))::BIGINT)::DOUBLE AS s2 FROM h),
-q AS (SELECT least(greatest(s1 / k / 10000, 0.001), 0.999) AS mean, greatest(s2 / k / 1e8 - (s1 / k / 10000) * (s1 / k / 10000), 1e-6) AS spread FROM p),
-b AS (SELECT mean * greatest(mean * (1 - mean) / spread - 1, 1.0) AS a, (1 - mean) * greatest(mean * (1 - mean) / spread - 1, 1.0) AS b FROM q),
-v AS (SELECT host, (f + a) / (n + a + b) > 0.5 AS bad FROM h, b)
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_words < 50 OR 100 * n_symbols > 5 * word_chars AS f1, n_words < 50 OR 100 * n_repeat_words > 20 * n_words AS f2,
+    n_words < 50 OR 100 * n_dup_lines > 2 * n_words AS f3, n_words < 50 OR word_chars < 2 * n_words AS f4,
+    n_words < 50 OR word_chars > 12 * n_words AS f5, row_number() OVER () AS id FROM m),
+f AS (SELECT id, host, unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS failed FROM r WHERE host IS NOT NULL),
+h AS (SELECT host, rule, count(*) AS n, sum(failed::BIGINT)::BIGINT AS f FROM f GROUP BY host, rule),
+p AS (SELECT rule, count(*) AS k, sum(round(f / n * 10000)::BIGINT)::DOUBLE AS s1, sum((round(f / n * 10000) * round(f / n * 10000))::BIGINT)::DOUBLE AS s2 FROM h GROUP BY rule),
+q AS (SELECT rule, least(greatest(s1 / k / 10000, 0.001), 0.999) AS mean, greatest(s2 / k / 1e8 - (s1 / k / 10000) * (s1 / k / 10000), 1e-6) AS spread FROM p),
+b AS (SELECT rule, mean * greatest(mean * (1 - mean) / spread - 1, 1.0) AS a, (1 - mean) * greatest(mean * (1 - mean) / spread - 1, 1.0) AS b FROM q),
+v AS (SELECT host, rule FROM h JOIN b USING (rule) WHERE (f + a) / (n + a + b) > 0.5),
+gone AS (SELECT DISTINCT id FROM f JOIN v USING (host, rule) WHERE failed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (soft_failed AND coalesce(bad, false)) AS kept
-FROM r LEFT JOIN v USING (host)
+  NOT base_failed AND NOT (gone.id IS NOT NULL) AS kept
+FROM r LEFT JOIN gone USING (id)
 """
