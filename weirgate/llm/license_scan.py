@@ -6,6 +6,8 @@ template (the matching statistics). Maximal matches of at least `min_match` word
 on both sides, and the share of the template that the chain covers decides the label. Base phrases are found on the
 same walk: a phrase ends at a position exactly if the current state, or one of its suffix links, is the phrase's state.
 
+The score is the best coverage of a template, or `PHRASE_SCORE` for a text with a base phrase if that is more.
+
 Defined results: a null or empty text has no words, labels or spans and score 0. Repeated rows give repeated results.
 Other columns are ignored, whatever their names. Texts are read whole; memory per document is linear in its words.
 """
@@ -40,6 +42,34 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "licensed under the gnu affero general public license version 3"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+)
+
+# Whole texts of short public licences, from after the copyright line.
+TEXTS = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""),
 )
 
 #: Words of a maximal match that may enter a chain.
@@ -48,6 +78,8 @@ MIN_MATCH = 3
 MIN_COVER = 0.75
 #: Words of the document that may lie between two links of a chain.
 MAX_GAP = 12
+#: Score of a text in which a base phrase occurs, but no better covered template: a phrase alone is no licence text.
+PHRASE_SCORE = 0.5
 
 _SEPARATORS = bytes.maketrans(bytes(range(128)), bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)))
 
@@ -150,7 +182,7 @@ class _Vocabulary(dict):
 
 
 @lru_cache(4)
-def automaton(templates=TEMPLATES, phrases=PHRASES) -> SuffixAutomaton:
+def automaton(templates=TEMPLATES + TEXTS, phrases=PHRASES) -> SuffixAutomaton:
     return SuffixAutomaton(templates, phrases)
 
 
@@ -209,7 +241,7 @@ def scan(text: str | None, auto: SuffixAutomaton, ids_of: dict, min_match=MIN_MA
 _OUT = pa.schema([("n_words", pa.int64()), ("base_starts", pa.list_(pa.int64())), ("base_found", pa.list_(pa.string())), ("span_labels", pa.list_(pa.string())), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("coverage", pa.float64())])
 
 
-def scan_licenses(df: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES, phrases=PHRASES, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP) -> DataFrame:
+def scan_licenses(df: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES + TEXTS, phrases=PHRASES, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP) -> DataFrame:
     """One row per input row: base places with labels, covered template spans in words, and the best coverage."""
 
     def make():
@@ -243,6 +275,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max("base_starts").alias("last_word"),
         joined("base_found").alias("base_labels"),
         joined("base_found", "span_labels").alias("labels"),
-        F.when(F.size("base_starts") > 0, F.lit(1.0)).otherwise(F.col("coverage")).alias("score"),
+        F.greatest("coverage", F.when(F.size("base_starts") > 0, F.lit(PHRASE_SCORE)).otherwise(0.0)).alias("score"),
         "span_labels", "span_starts", "span_ends",
     )
