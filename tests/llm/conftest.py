@@ -29,7 +29,7 @@ def clashing(spark, docs):
     """The same documents with further columns named like results and helpers."""
     from pyspark.sql import functions as F
 
-    names = ("score", "labels", "fp", "size", "copies", "spans", "rejected", "ids", "host", "kept", "u", "m", "target", "component_id", "root", "base", "n_words", "media")
+    names = ("score", "labels", "fp", "size", "copies", "spans", "rejected", "ids", "host", "kept", "u", "m", "target", "component_id", "root", "base", "n_words", "media", "__i", "__n", "__h", "__s", "__z", "__m", "__c", "__t", "__k", "__row", "__text", "__value", "__base", "__y", "__all", "k", "h", "row", "m0", "label", "part", "g", "t", "again", "c0", "fp0")
     return docs.select("*", *(F.lit("x").alias(n) for n in names))
 
 
