@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm import bpe_codec, language, mixing, pii, simhash_dedup
-from weirgate.llm.common import documents, shared_folder
+from weirgate.llm.common import documents, drop_folder, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. A stage's input is deleted once its output is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
