@@ -27,13 +27,17 @@ def _event(name: Column | str, **values: Column) -> Column:
     return F.struct(*((values[f].cast(t) if f in values else F.lit(None).cast(t)).alias(f) for f, t in _FIELDS))
 
 
-def emitted(event: Column, config: AuditConfig) -> Column:
-    """Verbosity gate: a clean pass always goes out while alerting is on; a summary gives way to its single rules."""
+def gate(config: AuditConfig) -> frozenset[str]:
+    """The events that go out: a clean pass always does while alerting is on; a summary gives way to its single rules."""
     if not config.enabled:
-        return F.lit(False)
+        return frozenset()
     level = VERBOSITIES.index(config.verbosity)
-    names = [e for e, least in LEAST.items() if (least <= level or (config.alerting and e == "syntactic_pass")) and not (e == "flags_summary" and level >= 2)]
-    return event.isin(*names)
+    return frozenset(e for e, least in LEAST.items() if (least <= level or (config.alerting and e == "syntactic_pass")) and not (e == "flags_summary" and level >= 2))
+
+
+def emitted(event: Column, config: AuditConfig) -> Column:
+    names = gate(config)
+    return event.isin(*sorted(names)) if names else F.lit(False)
 
 
 def category(rule: Column) -> Column:
@@ -44,58 +48,75 @@ def _tier_event(n: int) -> Column:
     return F.when(F.col(f"tier{n}") != "none", _event(F.concat(F.lit("frequency_escalation_"), F.col(f"tier{n}")), score=F.col(f"score{n}"), previous_score=F.col(f"previous{n}"), terminated=F.col(f"tier{n}") == "tier3"))
 
 
-def all_events(results: DataFrame) -> DataFrame:
-    """Every event of every message before any gate: session_id, ts_ms, seq, message_id, tool_call_id, place, and the fields."""
+def all_events(results: DataFrame, only: frozenset[str] = frozenset(LEAST)) -> DataFrame:
+    """The events of every message whose names are in `only`: session_id, ts_ms, seq, message_id, tool_call_id, place, and the fields.
+
+    What isn't asked for isn't built, so no content is copied or hashed for it. Tier events of a session's tier are
+    emitted once, as its tier rises; while terminated, each time.
+    """
     pre, found, clean = F.col("pre"), F.col("findings"), F.col("sanitized")
     rules = pre.rule_ids
     none = F.array().cast("array<string>")
     syntactic = F.when(~pre["pass"], "syntactic_fail").when(F.size(rules) > 0, "syntactic_flags").otherwise("syntactic_pass")
     severity = F.when(pre["pass"], "flag").otherwise("block")
     scan_rules = F.array_distinct(F.transform(found, lambda f: f.rule_id))
-    rows = lambda *xs: F.array_compact(F.array(*xs))
     safe = ~F.exists(found, lambda f: f.blocked)
-    single = F.array_compact(F.array(F.when(F.col("path") == "terminated", _event("frequency_escalation_tier3", score=F.col("score1"), previous_score=F.col("previous1"), terminated=F.lit(True)))))
+    reached, redacted = F.col("path").isin("full", "gated"), clean.isNotNull() & (clean["count"] > 0)
+    tiers = ("frequency_escalation_tier1", "frequency_escalation_tier2", "frequency_escalation_tier3")
+
+    def one(names: tuple[str, ...], make) -> list[Column]:
+        """An array of the event, or of none if it is null; nothing if no such event is wanted."""
+        return [F.array_compact(F.array(make()))] if only.intersection(names) else []
+
+    def each(names: tuple[str, ...], xs: Column, make) -> list[Column]:
+        return [F.transform(F.coalesce(xs, none), make)] if only.intersection(names) else []
+
     parts = [
-        single,
-        rows(F.when(pre.isNotNull(), _event(syntactic, **{"pass": pre["pass"]}, rule_ids=rules, flags=pre["flags"], stage=F.lit("syntactic")))),
-        F.transform(F.coalesce(rules, none), lambda r: _event("rule_triggered", rule_id=r, category=category(r), severity=severity, stage=F.lit("syntactic"))),
-        rows(F.when(F.size(rules) > 0, _event("flags_summary", rule_ids=rules, count=F.size(rules), blocked=~pre["pass"], stage=F.lit("syntactic"))), _tier_event(1)),
-        rows(F.when(F.col("schema").isNotNull(), _event(F.when(F.col("schema.pass"), "schema_pass").otherwise("schema_fail"), **{"pass": F.col("schema.pass")}, rule_ids=F.col("schema.rule_ids"), violations=F.col("schema.violations"), trusted=F.col("trusted")))),
-        rows(F.when(F.col("path") == "trusted", _event("scan_pass", **{"pass": F.lit(True)}, count=F.lit(0), blocking_count=F.lit(0))).when(found.isNotNull(), _event(F.when(safe, "scan_pass").otherwise("scan_block"), **{"pass": safe}, rule_ids=scan_rules, count=F.size(found), blocking_count=F.size(F.filter(found, lambda f: f.blocked))))),
-        F.transform(F.coalesce(scan_rules, none), lambda r: _event("rule_triggered", rule_id=r, category=category(r), severity=F.when(F.element_at(F.filter(found, lambda f: f.rule_id == r), -1).blocked, "block").otherwise("flag"), stage=F.lit("scanner"))),
-        rows(F.when(F.size(found) > 0, _event("flags_summary", rule_ids=scan_rules, count=F.size(found), blocked=~safe, stage=F.lit("scanner"))), _tier_event(2)),
-        rows(
-            F.when(clean.isNotNull() & (clean["count"] > 0), _event("content_sanitized", rule_ids=clean.rule_ids, count=clean["count"], characters_removed=clean.removed)),
-            F.when(clean.isNotNull() & (clean["count"] > 0), _event("output_diff", removals=F.transform(clean.redactions, lambda r: F.struct(r.rule_id, r.position, r.matched_length, r.content_hash, r.fallback)), replacements=F.transform(clean.redactions, lambda r: F.struct(r.rule_id, r.matched_length, F.length(r.replacement), r.fallback)))),
-            F.when(F.col("path").isin("full", "gated"), _event("raw_input_captured", content=F.col("content"), length=F.length("content"), sha256=F.sha2("content", 256))),
-            F.when(F.col("path").isin("full", "gated") & clean.isNotNull(), _event("raw_output_captured", content=clean.content, length=F.length(clean.content), sha256=F.sha2(clean.content, 256))),
-        ),
+        *one(tiers, lambda: F.when(F.col("path") == "terminated", _event("frequency_escalation_tier3", score=F.col("score1"), previous_score=F.col("previous1"), terminated=F.lit(True)))),
+        *one(("syntactic_fail", "syntactic_flags", "syntactic_pass"), lambda: F.when(pre.isNotNull(), _event(syntactic, **{"pass": pre["pass"]}, rule_ids=rules, flags=pre["flags"], stage=F.lit("syntactic")))),
+        *each(("rule_triggered",), rules, lambda r: _event("rule_triggered", rule_id=r, category=category(r), severity=severity, stage=F.lit("syntactic"))),
+        *one(("flags_summary",), lambda: F.when(F.size(rules) > 0, _event("flags_summary", rule_ids=rules, count=F.size(rules), blocked=~pre["pass"], stage=F.lit("syntactic")))),
+        *one(tiers, lambda: _tier_event(1)),
+        *one(("schema_pass", "schema_fail"), lambda: F.when(F.col("schema").isNotNull(), _event(F.when(F.col("schema.pass"), "schema_pass").otherwise("schema_fail"), **{"pass": F.col("schema.pass")}, rule_ids=F.col("schema.rule_ids"), violations=F.col("schema.violations"), trusted=F.col("trusted")))),
+        *one(("scan_pass", "scan_block"), lambda: F.when(F.col("path") == "trusted", _event("scan_pass", **{"pass": F.lit(True)}, count=F.lit(0), blocking_count=F.lit(0))).when(found.isNotNull(), _event(F.when(safe, "scan_pass").otherwise("scan_block"), **{"pass": safe}, rule_ids=scan_rules, count=F.size(found), blocking_count=F.size(F.filter(found, lambda f: f.blocked))))),
+        *each(("rule_triggered",), scan_rules, lambda r: _event("rule_triggered", rule_id=r, category=category(r), severity=F.when(F.element_at(F.filter(found, lambda f: f.rule_id == r), -1).blocked, "block").otherwise("flag"), stage=F.lit("scanner"))),
+        *one(("flags_summary",), lambda: F.when(F.size(found) > 0, _event("flags_summary", rule_ids=scan_rules, count=F.size(found), blocked=~safe, stage=F.lit("scanner")))),
+        *one(tiers, lambda: _tier_event(2)),
+        *one(("content_sanitized",), lambda: F.when(redacted, _event("content_sanitized", rule_ids=clean.rule_ids, count=clean["count"], characters_removed=clean.removed))),
+        *one(("output_diff",), lambda: F.when(redacted, _event("output_diff", removals=F.transform(clean.redactions, lambda r: F.struct(r.rule_id, r.position, r.matched_length, r.content_hash, r.fallback)), replacements=F.transform(clean.redactions, lambda r: F.struct(r.rule_id, r.matched_length, F.length(r.replacement), r.fallback))))),
+        *one(("raw_input_captured",), lambda: F.when(reached, _event("raw_input_captured", content=F.col("content"), length=F.length("content"), sha256=F.sha2("content", 256)))),
+        *one(("raw_output_captured",), lambda: F.when(reached & clean.isNotNull(), _event("raw_output_captured", content=clean.content, length=F.length(clean.content), sha256=F.sha2(clean.content, 256)))),
     ]
-    listed = F.concat(*(F.coalesce(p, F.array().cast(_TYPE)) for p in parts))
+    listed = F.concat(*(F.coalesce(p, F.array().cast(_TYPE)) for p in parts)) if parts else F.array().cast(_TYPE)
     base = [c for c in ("session_id", "side", "ts_ms", "seq", "message_id", "tool_call_id", "server_name", "tool_name") if c in results.columns]
     # The outer form keeps the optimiser from computing the whole list once more to see whether it is empty.
-    return results.select(*base, F.posexplode_outer(listed).alias("place", "e")).where("place is not null").select(*base, "place", "e.*")
+    made = results.select(*base, (F.col("path") == "terminated").alias("__ended"), F.posexplode_outer(listed).alias("place", "e")).where("place is not null").select(*base, "place", "__ended", "e.*").where(F.col("event").isin(*sorted(only)) if only else F.lit(False))
+    return _fresh(made, tiers).drop("__ended") if only.intersection(tiers) else made.drop("__ended")
 
 
-_TYPE = "array<struct<" + ",".join(f"{f}:{t}" for f, t in _FIELDS) + ">>"
-
-
-def events(results: DataFrame, config: AuditConfig) -> DataFrame:
-    """Events that pass the gate. Tier events of a session's tier are emitted once, as its tier rises; while terminated, each time."""
+def _fresh(made: DataFrame, tiers: tuple[str, ...]) -> DataFrame:
     from pyspark.sql import Window
 
-    made = all_events(results)
-    level = F.when(F.col("event") == "frequency_escalation_tier1", 1).when(F.col("event") == "frequency_escalation_tier2", 2).when(F.col("event") == "frequency_escalation_tier3", 3)
+    level = F.coalesce(*(F.when(F.col("event") == e, n) for n, e in enumerate(tiers, 1)))
+    rows = made.withColumn("__level", level)
     before = Window.partitionBy(*(c for c in ("session_id", "side") if c in made.columns)).orderBy("ts_ms", "seq", "place").rowsBetween(Window.unboundedPreceding, -1)
-    # A terminated session's messages hold this one event at the first place.
-    fresh = level.isNull() | (F.col("place") == 0) | (level > F.coalesce(F.max(level).over(before), F.lit(0)))
-    return made.withColumn("__fresh", fresh).where("__fresh").drop("__fresh").where(emitted(F.col("event"), config))
+    # Only tier events are put in order; all others go out as they are.
+    rising = rows.where("__level is not null").withColumn("__high", F.coalesce(F.max("__level").over(before), F.lit(0))).where("__ended or __level > __high").drop("__high")
+    return rows.where("__level is null").unionByName(rising).drop("__level")
+
+
+_TYPE = "array<struct<" + ",".join(f"{f}:{t}" for f, t in _FIELDS) + ">>"
+
+
+def events(results: DataFrame, config: AuditConfig, only: frozenset[str] = frozenset(LEAST)) -> DataFrame:
+    """Events that pass the gate, and of these those in `only`; the rest are not built."""
+    return all_events(results, gate(config) & only)
 
 
 def stats(results: DataFrame, config: AuditConfig) -> DataFrame:
     """Per event: how many were emitted and how many the gate dropped."""
-    gate = emitted(F.col("event"), config)
-    return all_events(results).groupBy("event").agg(F.count_if(gate).alias("emitted"), F.count_if(~gate).alias("dropped"))
+    passed = emitted(F.col("event"), config)
+    return all_events(results).groupBy("event").agg(F.count_if(passed).alias("emitted"), F.count_if(~passed).alias("dropped"))
 
 
 def construction_events(spark, profile: str | Profile, config: AuditConfig) -> DataFrame:

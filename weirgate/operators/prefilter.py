@@ -88,3 +88,12 @@ def prefilter(df: DataFrame, config: PrefilterConfig = PrefilterConfig(), conten
     flags = F.array_compact(F.array(*(F.when(F.col(f"__h{i}"), text) for i, (_, _, _, text) in enumerate(rules))))
     made = df.withColumn(out, F.struct((~failed).alias("pass"), ids.alias("rule_ids"), flags.alias("flags")))
     return made.drop("__raw", "__x", "__plain", "__stripped", "__fold", "__norm", "__low", "__trigger", "__grant", *(f"__r{i}" for i in range(len(INJECTION))), *(f"__h{i}" for i in range(len(rules))))
+
+
+def passes(rule_ids: Column, suppress: tuple[str, ...] = ()) -> Column:
+    """The verdict that a text with these rule hits gets where `suppress` is set: the texts need not be read again for each profile."""
+    named = lambda *xs: F.array(*(F.lit(f"{SYNTACTIC}.{x}") for x in xs))
+    injections = [f"injection.{name}" for name, _, _ in INJECTION] + ["injection.role-switch-capability"]
+    failing = ["structural.oversized-payload", "structural.excessive-depth", "structural.binary-content", *(x for x in injections if f"{SYNTACTIC}.{x}" not in suppress)]
+    hidden = F.array_contains(rule_ids, f"{SYNTACTIC}.encoding.invisible-chars") & F.arrays_overlap(rule_ids, named(*injections))
+    return ~(F.arrays_overlap(rule_ids, named(*failing)) | hidden)

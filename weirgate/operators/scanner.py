@@ -80,7 +80,25 @@ def detect(df: DataFrame, config: ScannerConfig = ScannerConfig(), pack: tuple[D
         made = F.transform("__m", _finding(d, rank, direction, rank >= limit))
         df = df.withColumn(f"__f{i}", F.when(F.size("__m") > 0, made).otherwise(F.array().cast(f"array<{FINDING}>"))).drop("__m", "__s")
     found = F.concat(*(F.col(f"__f{i}") for i in range(len(chosen)))) if chosen else F.array().cast(f"array<{FINDING}>")
-    return df.withColumn(out, found).drop("__low", *(f"__f{i}" for i in range(len(chosen))))
+    if config.direction == "both":
+        df = df.withColumn("__found", found)
+        found = _one_of_both(F.col("__found"))
+    return df.withColumn(out, found).drop("__low", "__found", *(f"__f{i}" for i in range(len(chosen))))
+
+
+def _one_of_both(found: Column) -> Column:
+    """One finding for each position and type, as `merge_directions` has it. Texts without two at one place keep their array."""
+    place = lambda f: F.struct(f.position.alias("position"), f.type.alias("type"))
+    places = F.transform(found, place)
+    listed = F.concat(F.filter(found, lambda f: f.direction == "inbound"), F.filter(found, lambda f: f.direction != "inbound"))
+
+    def best(p: Column) -> Column:
+        inbound = F.get(F.reverse(F.filter(found, lambda f: (place(f) == p) & (f.direction == "inbound"))), F.lit(0))
+        outbound = F.filter(found, lambda f: (place(f) == p) & (f.direction != "inbound"))
+        first = F.get(F.filter(outbound, lambda f: f.rank == F.array_max(F.transform(outbound, lambda o: o.rank))), F.lit(0))
+        return F.when(inbound.isNull() | (first.rank > inbound.rank), first).otherwise(inbound)
+
+    return F.when(F.size(F.array_distinct(places)) == F.size(places), found).otherwise(F.transform(F.array_distinct(F.transform(listed, place)), best))
 
 
 def _finding(d: Detector, rank: int, direction: str, blocked: bool):

@@ -16,7 +16,7 @@ from .operators import gateway as H
 from .operators import guard as G
 from .operators import scanner as C
 from .operators import toolerrors as E
-from .operators.prefilter import prefilter
+from .operators.prefilter import passes, prefilter
 from .operators.redact import redact
 from .operators.schema import validate
 from .plans.config import NAMESPACE, PROFILES, AuditConfig, FrequencyConfig, GatewayConfig, GuardConfig, PipelineConfig, PrefilterConfig, SanitizeConfig, ScannerConfig, SchemaConfig, ToolSchema, Variant
@@ -116,12 +116,12 @@ def prefilter_documents(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS profile, * FROM ({_rules_sql('count(*) AS n, count_if(NOT (bin OR len(inj) > 0)) AS passed', '')})" for p in PROFILES))
 def prefilter_pass_rate(spark, sf_dir):
-    # No built-in profile suppresses a rule that can fail: the plans differ, the rates agree.
-    parts = [_judged(spark, sf_dir, p.prefilter(PrefilterConfig())).agg(F.count("*").alias("n"), F.count_if("pre.pass").alias("passed")).select(F.lit(p.name).alias("profile"), "n", "passed") for p in PROFILES.values()]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    # No built-in profile suppresses a rule that can fail, so the rates agree. The rules are evaluated once for all profiles.
+    settings = {p.name: p.prefilter(PrefilterConfig()).suppress for p in PROFILES.values()}
+    ids = F.col("pre.rule_ids")
+    counts = _judged(spark, sf_dir).agg(F.count("*").alias("n"), *(F.count_if(passes(ids, x)).alias(f"p{i}") for i, x in enumerate(settings.values())))
+    each = F.array(*(F.struct(F.lit(name).alias("profile"), F.col("n"), F.col(f"p{i}").alias("passed")) for i, name in enumerate(settings)))
+    return counts.select(F.inline(each))
 
 
 @query("SELECT * FROM (VALUES (-1, true), (-3, false), (-12, false), (-14, true)) AS t(doc_id, pass)")
@@ -350,7 +350,7 @@ _DOC_PACK = _PACK_SQL.replace("FROM documents", "FROM raw")
 
 @query(_rules_sql("'syntactic' AS stage, regexp_replace(rule_id, '\\.[^.]*$', '') AS category, severity, count(*) AS n", f", LATERAL (SELECT '{NAMESPACE}.syntactic.' || unnest(rules) AS rule_id, CASE WHEN bin OR len(inj) > 0 THEN 'block' ELSE 'flag' END AS severity) GROUP BY ALL") + f" UNION ALL SELECT 'scanner', regexp_replace(rule_id, '\\.[^.]*$', ''), 'block', count(DISTINCT (doc_id, rule_id)) FROM (WITH raw AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {CASES}) {_DOC_PACK}) GROUP BY ALL")
 def audit_fanout(spark, sf_dir):
-    e = A.events(_doc_results(spark, sf_dir), AuditConfig(verbosity="high")).where("event = 'rule_triggered'")
+    e = A.events(_doc_results(spark, sf_dir), AuditConfig(verbosity="high"), only=frozenset({"rule_triggered"}))
     return e.groupBy("stage", "category", "severity").agg(F.count("*").alias("n"))
 
 
@@ -364,7 +364,7 @@ def audit_verbosity_counts(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS session_id, length(text)::BIGINT AS length, sha256(text) AS sha256 FROM documents")
 def audit_raw_capture(spark, sf_dir):
-    e = A.events(_doc_results(spark, sf_dir), AuditConfig(verbosity="maximum")).where("event = 'raw_input_captured' and seq >= 0")
+    e = A.events(_doc_results(spark, sf_dir), AuditConfig(verbosity="maximum"), only=frozenset({"raw_input_captured"})).where("seq >= 0")
     return e.select("session_id", F.col("length").cast("bigint").alias("length"), "sha256")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.text import millis
 from ..operators import frequency as Q
 from ..operators.fold import importable
-from ..plans.config import FrequencyConfig, PipelineConfig
+from ..plans.config import FrequencyConfig, PipelineConfig, ScannerConfig
 from ..plans.inspect import _OUT as INSPECTED
 from ..plans.inspect import inspect_step, stages
 
@@ -74,22 +74,23 @@ def stream_frequency(updates: DataFrame, config: FrequencyConfig, state_ttl_ms:
 
 
 def _inspect_step(settings: dict):
-    return inspect_step(PipelineConfig(frequency=FrequencyConfig(**settings["frequency"]), two_pass=settings["two_pass"]))
+    return inspect_step(PipelineConfig(frequency=FrequencyConfig(**settings["frequency"]), two_pass=settings["two_pass"], scanner=ScannerConfig(enabled=settings["scanner"])))
 
 
-def stream_inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(), state_ttl_ms: int | None = None) -> DataFrame:
+def stream_inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(), state_ttl_ms: int | None = None, rejected=None) -> DataFrame:
     """A stream of messages to decisions: session_id, ts_ms, seq, message_id, path, tier, scores and the stages' verdicts.
 
     Rules, schemas and detectors are plain columns of the stream; only narrow rows reach the state. Alerts follow in
-    foreachBatch, over the batch's decisions.
+    foreachBatch, over the batch's decisions. `rejected` is a column that says whose session id is not accepted: such a
+    message neither reads nor changes a score.
     """
     df = stages(messages, config).withColumn("ts_ms", millis("ts"))
     ids = F.transform("findings", lambda f: f.rule_id)
     rows = df.select(
-        "session_id", "ts_ms", "seq", "message_id", "trusted", F.lit(False).alias("rejected"), F.col("pre.pass").alias("pre_pass"), F.size("pre.rule_ids").alias("n_pre"), Q.total_weight(F.col("pre.rule_ids"), config.frequency).alias("w_pre"),
+        "session_id", "ts_ms", "seq", "message_id", "trusted", (F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False))).alias("rejected"), F.col("pre.pass").alias("pre_pass"), F.size("pre.rule_ids").alias("n_pre"), Q.total_weight(F.col("pre.rule_ids"), config.frequency).alias("w_pre"),
         F.arrays_overlap("pre.rule_ids", F.array(*map(F.lit, config.hard_block))).alias("hard"), F.size("findings").alias("n_scan"), Q.total_weight(ids, config.frequency).alias("w_scan"), (~F.exists("findings", lambda f: f.blocked)).alias("scan_safe"),
     )
-    settings = {"frequency": _settings(config.frequency), "two_pass": config.two_pass}
+    settings = {"frequency": _settings(config.frequency), "two_pass": config.two_pass, "scanner": config.scanner.enabled}
     decided = _fold(rows, _inspect_step, settings, ["session_id", "ts_ms", "seq", "message_id", "pre_pass", "scan_safe"], INSPECTED, state_ttl_ms)
     safe = F.when(F.col("path") == "trusted", True).when(F.col("path").isin("terminated", "stopped"), False).otherwise(F.col("pre_pass") & (~F.col("scanned") | F.col("scan_safe")))
     return decided.withColumn("safe", safe)
