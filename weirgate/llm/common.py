@@ -92,6 +92,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a narrow table up to which it is broadcast.
+FEW = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A saved, narrow table, to be broadcast if it has at most FEW rows: counted first, so that a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes what is under a path of the shared folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

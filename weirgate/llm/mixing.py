@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, saved
+from .common import SPACE_CLASS, documents, few, saved
 
 MOST, BLOCK, SEED = 3, 1024, 17
 #: Rows that one row is exploded into at once.
@@ -173,13 +173,12 @@ def mixed(df: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     def key(ident, source, h):
         return F.struct(ident.isNull().alias("a"), F.coalesce(ident, F.lit(0)).alias("b"), source.isNull().alias("c"), F.coalesce(source, F.lit("")).alias("d"), h.alias("e")).alias("k")
 
-    units = copies(df, id_col, text_col, source_col, **settings).where("copies > 0").select(key(F.col("doc_id"), F.col("source"), F.col("h")), "m", "copies")
+    units = saved(copies(df, id_col, text_col, source_col, **settings).where("copies > 0").select(key(F.col("doc_id"), F.col("source"), F.col("h")), "m", "copies"))
     row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row")
     rows = df.select(key(F.col(id_col).cast("bigint"), F.col(source_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))), row)
-    joined = rows.join(units, "k")
-    single = joined.where("m = 1").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("again"))
+    single = rows.join(units.where("m = 1"), "k").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("again"))
     # Of units of several rows, equal rows are counted first; running counts then say which rows the unit's copies go to.
-    equal = joined.where("m > 1").groupBy(F.struct("k", "m", "copies", "row").alias("g")).agg(F.count("*").alias("n")).select("g.*", "n").withColumn("of", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    equal = rows.join(few(units.where("m > 1")), "k").groupBy(F.struct("k", "m", "copies", "row").alias("g")).agg(F.count("*").alias("n")).select("g.*", "n").withColumn("of", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
     parts = equal.groupBy("k", "of").agg(F.sum("n").alias("n"))
     first = parts.select("k", "of", (F.sum("n").over(Window.partitionBy("k").orderBy("of")) - F.col("n")).alias("first"))
     within = F.sum("n").over(Window.partitionBy("k", "of").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, importable, map_column, saved, text_of
+from .common import documents, few, importable, map_column, saved, text_of
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Mean distinct fingerprints of a shard, above which shards are named by one more block.
@@ -254,11 +254,14 @@ def one_of_each(df: DataFrame, id_col="doc_id", text_col="text", radius: int = R
     ident = F.col(id_col).cast("bigint")
     key = F.struct(ident.isNull().alias("n"), F.coalesce(ident, F.lit(0)).alias("i"), F.xxhash64(text_of(df, text_col)).alias("h"))
     found = near_duplicates(df, id_col, text_col, radius, keep=[key.alias("k")])
-    kept = found.groupBy("root").agg(F.min("k").alias("k")).select("k")
-    rows = df.select(key.alias("k"), F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row")).join(kept, "k", "left_semi")
-    # Rows of one key may be many: they are grouped by its text, which the join isn't dealt by, so they are folded before they move.
-    one = rows.groupBy(F.to_json("k").alias("g")).agg(F.min("row").alias("row"))
-    return one.select(*(F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names)))
+    # How many rows have the key is counted in narrow rows: only keys of several rows need folding, and their rows may be many.
+    counted = found.groupBy("root", "k").agg(F.count("*").alias("n"))
+    kept = saved(counted.groupBy("root").agg(F.min(F.struct("k", "n")).alias("m")).select("m.k", "m.n"))
+    rows = df.select(key.alias("k"), F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row"))
+    single = rows.join(kept.where("n = 1").select("k"), "k", "left_semi").select("row")
+    # Equal keys are grouped by their text, which the join isn't dealt by, so rows are folded before they move.
+    several = rows.join(few(kept.where("n > 1").select("k")), "k", "left_semi").groupBy(F.to_json("k").alias("g")).agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(several).select(*(F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
