@@ -11,6 +11,7 @@ from weirgate.operators import frequency as Q
 from weirgate.plans.config import NAMESPACE, AlertConfig, FrequencyConfig, PipelineConfig
 from weirgate.plans.inspect import inspect
 from weirgate.sources.messages import MESSAGES, choose_sinks, ingest_rows, log_lines, write_each
+from weirgate.streaming.sessions import stop_all
 
 
 def run(config, rows):
@@ -229,3 +230,70 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select(names).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, inspect(batch, c).results.select(names).collect()))
     assert {r.path for r in got} >= {"full", "terminated"}
+
+
+def _alert_rows(spark, rows):
+    return spark.createDataFrame([(t, i, r, "medium", "s", None, None) for i, (t, r) in enumerate(rows)], "ts_ms bigint, seq bigint, alert_rule string, severity string, session_id string, server_name string, tool_name string")
+
+
+def test_counts_of_crowded_instants(spark):
+    rows = [(t, i) for i, t in enumerate([5] * 1500 + [9, 9, 604, 605])]
+    events = spark.createDataFrame([("e", t, i) for t, i in rows], "event string, ts_ms bigint, seq bigint")
+    got = {r.seq: r.recent for r in L.sliding_count(events, 600).collect()}
+    assert got == {i: min(L.INDEX, sum(u > t - 600 and (u, j) <= (t, i) for u, j in rows)) for t, i in rows}
+
+
+def test_runs_agree_with_one_order(spark):
+    hour, day = 3_600_000, 86_400_000
+    times = [0, 1000, 2000, 3000, hour - 1, hour, hour + 1, 3 * hour, 3 * hour + 5, day, day + 1, day + 2, 3 * day, 3 * day + 1, 5 * day - 1, 5 * day]
+    config = AlertConfig(suppression_minutes=0, per_hour=2)
+    got = {r.seq: r for r in L.decide(_alert_rows(spark, [(t, "scanBlockAfterSyntacticPass") for t in times]), config).collect()}
+    count, rate, counted, sent = L.occurrence_step(config), L.rate_step(config), None, None
+    for i, t in enumerate(times):
+        counted, a = count(counted, {"ts_ms": t})
+        sent, b = rate(sent, {"ts_ms": t})
+        assert (got[i].occurrence, got[i].final_severity, got[i].disposition) == (a["occurrence"], a["final_severity"], "delivered" if b["delivered"] else "rate_limited")
+
+
+def test_nothing_to_decide(spark):
+    assert L.decide(_alert_rows(spark, [])).count() == 0
+
+
+def test_capacity_against_a_plain_version():
+    draw = random.Random(3)
+    config = FrequencyConfig(half_life_ms=5000, thresholds=(15, 25, 34), ttl_ms=20_000, max_sessions=5, max_new_sessions_per_minute=40, strict_capacity=True)
+    step, world, held, born, at = Q.capacity_step(config), None, {}, [], 0
+    for _ in range(3000):
+        at += draw.choice([0, 0, 1, 500, 4000])
+        key, added = draw.randrange(9), draw.choice([0.0, 5.0, 10.0, 20.0])
+        world, got = step(world, {"ts_ms": at, "session_id": key, "weight": added, "hits": int(added > 0)})
+        held = {k: s for k, s in held.items() if s["last"] >= at - config.ttl_ms}
+        if key not in held:
+            born = [t for t in born if t > at - 60_000]
+            if len(held) >= 5 and len(born) >= 40:
+                assert got == {"previous_score": 0.0, "current_score": 0.0, "tier": "none", "terminated": False}
+                continue
+            born.append(at)
+        held[key], want = Q.update(held.get(key), at, added, int(added > 0), config)
+        assert got == want
+        if len(held) > 5:
+            others = [k for k in held if k != key]
+            del held[next((k for k in others if held[k]["terminated"]), None) if any(held[k]["terminated"] for k in others) else min(others, key=lambda k: held[k]["last"])]
+        assert list(world.number) and set(world.sessions) == set(held)
+
+
+def test_streams_stop_by_name(spark):
+    made = [spark.readStream.format("rate").load().writeStream.format("noop").queryName(n).start() for n in ("gate_one", "other")]
+    assert stop_all(spark, "gate_") == [str(made[0].id)] and not made[0].isActive and made[1].isActive
+    assert stop_all(spark) == [str(made[1].id)] and not spark.streams.active
+
+
+def test_raw_contents_are_asked_of_results(spark):
+    from weirgate.operators import audit
+    from weirgate.plans.config import AuditConfig
+
+    done = inspect(_messages(spark, [(1, 0, "a", "hi")]), PipelineConfig())
+    assert "content" not in done.decisions.columns and audit.stats(done.decisions, AuditConfig()).where("event = 'scan_pass' and emitted = 1").count() == 1
+    assert "Join" not in done.decisions._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="content"):
+        audit.events(done.decisions, AuditConfig(verbosity="maximum"))

@@ -52,7 +52,7 @@ def all_events(results: DataFrame, only: frozenset[str] = frozenset(LEAST)) -> D
     """The events of every message whose names are in `only`: session_id, ts_ms, seq, message_id, tool_call_id, place, and the fields.
 
     What isn't asked for isn't built, so no content is copied or hashed for it. Tier events of a session's tier are
-    emitted once, as its tier rises; while terminated, each time.
+    emitted once, as its tier rises; while terminated, each time, which doesn't count as a rise.
     """
     pre, found, clean = F.col("pre"), F.col("findings"), F.col("sanitized")
     rules = pre.rule_ids
@@ -88,7 +88,7 @@ def all_events(results: DataFrame, only: frozenset[str] = frozenset(LEAST)) -> D
         *one(("raw_output_captured",), lambda: F.when(reached & clean.isNotNull(), _event("raw_output_captured", content=clean.content, length=F.length(clean.content), sha256=F.sha2(clean.content, 256)))),
     ]
     listed = F.concat(*(F.coalesce(p, F.array().cast(_TYPE)) for p in parts)) if parts else F.array().cast(_TYPE)
-    base = [c for c in ("session_id", "side", "ts_ms", "seq", "message_id", "tool_call_id", "server_name", "tool_name") if c in results.columns]
+    base = [c for c in ("session_id", "side", "ts_ms", "seq", "message_id", "tool_call_id", "server_name", "tool_name", "agent_id") if c in results.columns]
     # The outer form keeps the optimiser from computing the whole list once more to see whether it is empty.
     made = results.select(*base, (F.col("path") == "terminated").alias("__ended"), F.posexplode_outer(listed).alias("place", "e")).where("place is not null").select(*base, "place", "__ended", "e.*").where(F.col("event").isin(*sorted(only)) if only else F.lit(False))
     return _fresh(made, tiers).drop("__ended") if only.intersection(tiers) else made.drop("__ended")
@@ -101,7 +101,7 @@ def _fresh(made: DataFrame, tiers: tuple[str, ...]) -> DataFrame:
     rows = made.withColumn("__level", level)
     before = Window.partitionBy(*(c for c in ("session_id", "side") if c in made.columns)).orderBy("ts_ms", "seq", "place").rowsBetween(Window.unboundedPreceding, -1)
     # Only tier events are put in order; all others go out as they are.
-    rising = rows.where("__level is not null").withColumn("__high", F.coalesce(F.max("__level").over(before), F.lit(0))).where("__ended or __level > __high").drop("__high")
+    rising = rows.where("__level is not null").withColumn("__high", F.coalesce(F.max(F.when(~F.col("__ended"), F.col("__level"))).over(before), F.lit(0))).where("__ended or __level > __high").drop("__high")
     return rows.where("__level is null").unionByName(rising).drop("__level")
 
 
@@ -114,7 +114,9 @@ def events(results: DataFrame, config: AuditConfig, only: frozenset[str] = froze
 
 
 def stats(results: DataFrame, config: AuditConfig) -> DataFrame:
-    """Per event: how many were emitted and how many the gate dropped."""
+    """Per event: how many were emitted and how many the gate dropped. Contents aren't needed for it."""
+    if "content" not in results.columns:
+        results = results.withColumn("content", F.lit(None).cast("string"))
     passed = emitted(F.col("event"), config)
     return all_events(results).groupBy("event").agg(F.count_if(passed).alias("emitted"), F.count_if(~passed).alias("dropped"))
 
@@ -128,3 +130,9 @@ def construction_events(spark, profile: str | Profile, config: AuditConfig) -> D
     loaded = F.struct(F.lit("profile_loaded").alias("event"), F.lit(p.name).alias("detail"), suppressed.alias("suppressed_rules"), overrides.alias("frequency_overrides"), F.lit(None).cast("boolean").alias("enabled"))
     audit = F.struct(F.lit("audit_config_loaded").alias("event"), F.lit(config.verbosity).alias("detail"), empty.alias("suppressed_rules"), F.create_map().cast("map<string,double>").alias("frequency_overrides"), F.lit(config.enabled).alias("enabled"))
     return spark.range(1).select(F.lit("__init__").alias("session_id"), F.inline(F.array(loaded, audit))).where(emitted(F.col("event"), config))
+
+
+def run_events(results: DataFrame, config: AuditConfig, profile: str | Profile = "general") -> DataFrame:
+    """The events of a run's start, at place -1, then those of its messages."""
+    start = construction_events(results.sparkSession, profile, config).withColumn("place", F.lit(-1))
+    return start.unionByName(events(results, config), allowMissingColumns=True)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import OrderedDict
+from collections import OrderedDict, deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,25 +69,75 @@ def session_step(config: FrequencyConfig):
     return step
 
 
+class _World:
+    """Sessions of one global order, found by age without a look at all of them."""
+
+    def __init__(self) -> None:
+        self.sessions: dict = {}
+        self.number: dict = {}
+        self.idle: OrderedDict = OrderedDict()
+        self.ended: list = []
+        self.born: deque = deque()
+        self.count = 0
+
+    def drop(self, key) -> None:
+        del self.sessions[key], self.number[key], self.idle[key]
+
+    def expire(self, before: float) -> None:
+        while self.idle and self.sessions[key := next(iter(self.idle))]["last"] < before:
+            self.drop(key)
+
+    def put(self, key, state: dict) -> None:
+        old = self.sessions.get(key)
+        if old is None:
+            self.count += 1
+            self.number[key] = self.count
+        self.sessions[key] = state
+        if old is None or old["last"] != state["last"]:
+            self.idle[key] = None
+            self.idle.move_to_end(key)
+        if state["terminated"] and not (old and old["terminated"]):
+            heapq.heappush(self.ended, (self.number[key], key))
+
+    def evict(self, key) -> None:
+        """The terminated session that came first, else the idlest, of equals the one that came first; never `key`."""
+        held = []
+        while self.ended and (self.number.get(self.ended[0][1]) != self.ended[0][0] or self.ended[0][1] == key):
+            top = heapq.heappop(self.ended)
+            if self.number.get(top[1]) == top[0]:
+                held.append(top)
+        gone = self.ended[0][1] if self.ended else None
+        for top in held:
+            heapq.heappush(self.ended, top)
+        if gone is None:
+            others = (k for k in self.idle if k != key)
+            gone = next(others)
+            oldest = self.sessions[gone]["last"]
+            for k in others:
+                if self.sessions[k]["last"] != oldest:
+                    break
+                gone = min(gone, k, key=self.number.__getitem__)
+        self.drop(gone)
+
+
 def capacity_step(config: FrequencyConfig):
     """All sessions in one order: over capacity a terminated session goes first, else the idlest; at capacity new ones are limited."""
 
     def step(world, row):
-        sessions, born = world or (OrderedDict(), [])
+        world = world or _World()
         at, key = row["ts_ms"], row["session_id"]
-        for k in [k for k, s in sessions.items() if s["last"] < at - config.ttl_ms]:
-            del sessions[k]
-        if key not in sessions:
-            born = [t for t in born if t > at - 60_000]
-            if len(sessions) >= config.max_sessions and len(born) >= config.max_new_sessions_per_minute:
-                return (sessions, born), {"previous_score": 0.0, "current_score": 0.0, "tier": "none", "terminated": False}
-            born.append(at)
-        sessions[key], out = update(sessions.get(key), at, row["weight"] or 0.0, row["hits"] or 0, config)
-        if len(sessions) > config.max_sessions:
-            others = [k for k in sessions if k != key]
-            gone = next((k for k in others if sessions[k]["terminated"]), None) or min(others, key=lambda k: sessions[k]["last"])
-            del sessions[gone]
-        return (sessions, born), out
+        world.expire(at - config.ttl_ms)
+        if key not in world.sessions:
+            while world.born and world.born[0] <= at - 60_000:
+                world.born.popleft()
+            if len(world.sessions) >= config.max_sessions and len(world.born) >= config.max_new_sessions_per_minute:
+                return world, {"previous_score": 0.0, "current_score": 0.0, "tier": "none", "terminated": False}
+            world.born.append(at)
+        state, out = update(world.sessions.get(key), at, row["weight"] or 0.0, row["hits"] or 0, config)
+        world.put(key, state)
+        if len(world.sessions) > config.max_sessions:
+            world.evict(key)
+        return world, out
 
     return step
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import OrderedDict
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
 from ..plans.config import GatewayConfig
+from .fold import keyed_fold
 
 
 def session_id(key: Column, channel: Column, conversation: Column, account: Column, row: Column) -> Column:
@@ -36,12 +40,34 @@ def outbound(safe: Column, terminated: Column, sanitized: Column, skip: Column,
     return F.when(skip, act("pass", none)).when(terminated, act("cancel", none)).when(~safe & F.lit(config.redact_outbound) & sanitized.isNotNull(), act("redact", sanitized)).when(~safe, act("cancel", none)).otherwise(act("pass", none))
 
 
-def repeated_scans(rows: DataFrame, content="content", ttl_ms: int = 5000) -> DataFrame:
-    """Adds cached: whether the same content was scanned for the session less than ttl_ms before, and not answered from that scan's copy."""
-    key = F.sha2(F.concat(F.col(content), F.lit("\0"), F.col("session_id").cast("string")), 256)
-    w = Window.partitionBy("session_id", "__key").orderBy("ts_ms", "seq")
-    near = rows.withColumn("__key", key).withColumn("__gap", F.col("ts_ms") - F.lag("ts_ms").over(w))
-    return near.withColumn("cached", F.coalesce(F.col("__gap") <= ttl_ms, F.lit(False))).drop("__gap", "__key")
+def repeated_scans(rows: DataFrame, content="content", ttl_ms: int = 5000, most: int | None = None) -> DataFrame:
+    """Adds cached: whether the content is answered from a scan of it for the session at most ttl_ms before. A hit renews nothing.
+
+    With `most`, all sessions share one copy store of that size in one global order: when it is full, copies past their
+    time go, and if it still is, the scan leaves no copy.
+    """
+    rows = rows.withColumn("__key", F.sha2(F.concat(F.col(content), F.lit("\0"), F.col("session_id").cast("string")), 256))
+    keep = [c for c in rows.columns if c != "__key"]
+
+    def alone(scanned, row):
+        if scanned is not None and row["ts_ms"] - scanned <= ttl_ms:
+            return scanned, {"cached": True}
+        return row["ts_ms"], {"cached": False}
+
+    def shared(copies, row):
+        # Copies in the order of their scans, so that those past their time are in front.
+        copies, at, key = copies if copies is not None else OrderedDict(), row["ts_ms"], row["__key"]
+        if key in copies and at - copies[key] <= ttl_ms:
+            return copies, {"cached": True}
+        copies.pop(key, None)
+        while len(copies) >= most and at - next(iter(copies.values())) > ttl_ms:
+            copies.popitem(last=False)
+        if len(copies) < most:
+            copies[key] = at
+        return copies, {"cached": False}
+
+    keys, step = (["__key"], alone) if most is None else ([], shared)
+    return keyed_fold(rows, keys, ["ts_ms", "seq"], step, [("cached", pa.bool_(), "boolean")], keep)
 
 
 def breadcrumb(texts: Column) -> Column:

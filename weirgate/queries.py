@@ -251,7 +251,7 @@ def redact_hmac(spark, sf_dir):
 _DAY = 86_400_000
 _RULE_OF = {"error": "credential.token", "click": "structural.odd", "signup": "schema.extra-field"}
 SESSIONS = FrequencyConfig(half_life_ms=2 * _DAY, thresholds=(15, 25, 34), rolling_window_ms=3 * _DAY, rolling_threshold=6, ttl_ms=2 * _DAY)
-_EV = "SELECT event_id AS seq, user_id, epoch_ms(ts) AS t, CASE event_type WHEN 'error' THEN 10.0 WHEN 'click' THEN 5.0 WHEN 'signup' THEN 8.0 ELSE 0.0 END AS w, (event_type IN ('error', 'click', 'signup'))::BIGINT AS hits FROM events"
+_EV = "SELECT event_id AS seq, user_id, (epoch_us(ts) // 1000) AS t, CASE event_type WHEN 'error' THEN 10.0 WHEN 'click' THEN 5.0 WHEN 'signup' THEN 8.0 ELSE 0.0 END AS w, (event_type IN ('error', 'click', 'signup'))::BIGINT AS hits FROM events"
 
 
 def _updates(spark, sf_dir) -> DataFrame:
@@ -327,22 +327,14 @@ def tier_transitions(spark, sf_dir):
     return transitions(_results(spark, sf_dir).withColumn("step", F.lit(1))).select("session_id", "seq", "tier")
 
 
-@query()
-def freq_capacity(spark, sf_dir):
-    """The strict form: all sessions in one order, evicted over capacity."""
-    from dataclasses import replace
-
-    return _rounded(Q.frequency(_updates(spark, sf_dir), replace(SESSIONS, strict_capacity=True, max_sessions=50)))
-
-
 # ---- audit
 
 
-def _doc_results(spark, sf_dir) -> DataFrame:
+def _doc_results(spark, sf_dir, whole: bool = False) -> DataFrame:
     """Documents as single messages of sessions of their own, each at its own time."""
     d = _with_cases(spark, sf_dir)
     m = d.select(F.col("doc_id").alias("seq"), F.timestamp_millis(F.col("doc_id") * 1000 + 10**12).alias("ts"), F.col("doc_id").cast("string").alias("session_id"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("message_id"), F.lit(None).cast("string").alias("tool_call_id"), F.lit("user").alias("source"), F.lit(None).cast("string").alias("server_name"), F.lit(None).cast("string").alias("tool_name"), F.col("text").alias("content"))
-    return inspect(m, PipelineConfig()).results
+    return inspect(m, PipelineConfig()).results if whole else inspect(m, PipelineConfig()).decisions
 
 
 _DOC_PACK = _PACK_SQL.replace("FROM documents", "FROM raw")
@@ -364,7 +356,7 @@ def audit_verbosity_counts(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS session_id, length(text)::BIGINT AS length, sha256(text) AS sha256 FROM documents")
 def audit_raw_capture(spark, sf_dir):
-    e = A.events(_doc_results(spark, sf_dir), AuditConfig(verbosity="maximum"), only=frozenset({"raw_input_captured"})).where("seq >= 0")
+    e = A.events(_doc_results(spark, sf_dir, whole=True), AuditConfig(verbosity="maximum"), only=frozenset({"raw_input_captured"})).where("seq >= 0")
     return e.select("session_id", F.col("length").cast("bigint").alias("length"), "sha256")
 
 
@@ -381,7 +373,7 @@ def _audit_rows(spark, sf_dir) -> DataFrame:
     return e.select("event", T.millis("ts").alias("ts_ms"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("message_id"), null.alias("tool_call_id"), F.array().cast("array<string>").alias("rule_ids"), F.col("value").alias("score"), F.lit(False).alias("trusted"), null.alias("server_name"), null.alias("tool_name"))
 
 
-_AUDIT = "SELECT event_id AS seq, epoch_ms(ts) AS t, user_id::VARCHAR AS session_id, CASE event_type WHEN 'error' THEN 'syntactic_fail' WHEN 'click' THEN 'syntactic_pass' WHEN 'purchase' THEN 'scan_block' WHEN 'signup' THEN 'write_failed' END AS event FROM events WHERE event_type IN ('error', 'click', 'purchase', 'signup')"
+_AUDIT = "SELECT event_id AS seq, (epoch_us(ts) // 1000) AS t, user_id::VARCHAR AS session_id, CASE event_type WHEN 'error' THEN 'syntactic_fail' WHEN 'click' THEN 'syntactic_pass' WHEN 'purchase' THEN 'scan_block' WHEN 'signup' THEN 'write_failed' END AS event FROM events WHERE event_type IN ('error', 'click', 'purchase', 'signup')"
 
 
 def _burst_sql(event: str, ms: int, count: int) -> str:
@@ -488,7 +480,7 @@ def tool_error_classify(spark, sf_dir):
     return E.advice(rows).select("id", "category", "severity", "source")
 
 
-@query("""WITH e AS (SELECT event_id AS seq, user_id, epoch_ms(ts) AS t, event_type = 'error' AS bad, user_id % 7 AS tool FROM events), i AS (SELECT *, sum((NOT bad)::BIGINT) OVER (PARTITION BY user_id, tool ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS island FROM e),
+@query("""WITH e AS (SELECT event_id AS seq, user_id, (epoch_us(ts) // 1000) AS t, event_type = 'error' AS bad, user_id % 7 AS tool FROM events), i AS (SELECT *, sum((NOT bad)::BIGINT) OVER (PARTITION BY user_id, tool ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS island FROM e),
 a AS (SELECT *, sum(bad::BIGINT) OVER (PARTITION BY user_id, tool, island ORDER BY t, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS attempt FROM i)
 SELECT seq, attempt, coalesce(lag(attempt) OVER (PARTITION BY user_id, tool ORDER BY t, seq), 0) >= 3 AS blocked FROM a""")
 def tool_circuit_breaker(spark, sf_dir):
@@ -508,6 +500,8 @@ def tool_remediation(spark, sf_dir):
     return E.remediate(rows).select("seq", "attempt", "blocked", text("enricher.error_category").alias("category"), text("enricher.severity").alias("severity"), text("enricher.template_source").alias("source"))
 
 
+#: Long, as the same content comes seldom.
+_CACHE = 10 * 24 * _HOUR
 _GATE = "(VALUES (1, 'k', 'web', 'c', 'a', 'u', true, 'none', false), (2, '', 'web', 'c', 'a', 'u', false, 'none', false), (3, NULL, 'web', NULL, 'a', 'u', true, 'tier2', false), (4, 'k', 'web', 'c', 'a', 'u', true, 'none', true), (5, 'k', 'test', 'c', 'a', 'u', false, 'tier3', true), (6, 'k', 'web', 'c', 'a', 'boss', false, 'none', false)) AS t(id, session_key, channel, conversation, account, sender, safe, tier, terminated)"
 
 
@@ -520,10 +514,13 @@ def gateway_decisions(spark, sf_dir):
     return g.select("id", H.session_id(F.col("session_key"), F.col("channel"), F.col("conversation"), F.col("account"), F.col("id")).alias("session_id"), H.inbound(F.col("safe"), F.col("tier"), F.col("terminated"), skip(True), c).action.alias("inbound"), H.outbound(F.col("safe"), F.col("terminated"), F.lit("clean"), skip(False), c).action.alias("outbound"))
 
 
-@query(f"SELECT event_id AS seq, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id, props ORDER BY ts, event_id) <= {6 * _HOUR}, false) AS cached FROM events")
+@query(f"""WITH RECURSIVE o AS (SELECT event_id AS seq, user_id, props, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id, props ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events),
+f AS (SELECT user_id, props, seq, rn, t AS scanned, false AS cached FROM o WHERE rn = 1
+  UNION ALL SELECT o.user_id, o.props, o.seq, o.rn, CASE WHEN o.t - f.scanned <= {_CACHE} THEN f.scanned ELSE o.t END, o.t - f.scanned <= {_CACHE} FROM f JOIN o ON o.user_id = f.user_id AND o.props = f.props AND o.rn = f.rn + 1)
+SELECT seq, cached FROM f""")
 def scan_cache_dedup(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("session_id"), T.millis("ts").alias("ts_ms"), F.col("props").alias("content"))
-    return H.repeated_scans(e, ttl_ms=6 * _HOUR).select("seq", "cached")
+    return H.repeated_scans(e, ttl_ms=_CACHE).select("seq", "cached")
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 500 THEN left(text, 497) || '...' ELSE text END AS preview, sha256(text) AS sha256 FROM conversations WHERE role = 'assistant'")
@@ -575,3 +572,8 @@ def stream_inspect_conversations(spark, sf_dir):
         return stream_inspect(conversation_messages(c))
 
     return _run_available(spark, sf_dir, "conversations", build).select("session_id", "seq", "path", "safe", "tier")
+
+
+# ---- whole sessions, which register themselves
+
+from . import session_queries  # noqa: E402, F401

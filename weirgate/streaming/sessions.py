@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -94,3 +94,11 @@ def stream_inspect(messages: DataFrame, config: PipelineConfig = PipelineConfig(
     decided = _fold(rows, _inspect_step, settings, ["session_id", "ts_ms", "seq", "message_id", "pre_pass", "scan_safe"], INSPECTED, state_ttl_ms)
     safe = F.when(F.col("path") == "trusted", True).when(F.col("path").isin("terminated", "stopped"), False).otherwise(F.col("pre_pass") & (~F.col("scanned") | F.col("scan_safe")))
     return decided.withColumn("safe", safe)
+
+
+def stop_all(spark: SparkSession, prefix: str = "") -> list[str]:
+    """Stops the session's running streams whose names begin with prefix, those without a name only if it is empty; returns their ids."""
+    gone = [q for q in spark.streams.active if (q.name or "").startswith(prefix)]
+    for q in gone:
+        q.stop()
+    return [str(q.id) for q in gone]
