@@ -544,7 +544,9 @@ def _run_available(spark: SparkSession, sf_dir: str, name: str, build) -> DataFr
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = shared_path(spark, "stream")
     try:
-        source = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        # A pattern, as a stream takes no single file as its path; it finds a table of one file and a folder of many alike.
+        # With a pattern, columns that only folders' names hold are found below basePath alone.
+        source = spark.readStream.schema(table(spark, sf_dir, name).schema).option("basePath", sf_dir).parquet(f"{sf_dir}/{name}[.]parquet")
         run = build(source).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
